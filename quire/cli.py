@@ -63,10 +63,6 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> int:
 def inspect(spark: SparkSession, args: argparse.Namespace) -> int:
     dumping = args.dump_payloads is not None
     a = Analysis.of_paths(spark, args.file, limits=Limits(args.max_member_bytes, args.max_total_bytes), with_data=dumping, with_values=dumping)
-    failed = a.input_errors.first()
-    if failed is not None:
-        _say(f"error: {args.file}: {failed['error']}")
-        return 1
     if dumping:
         folder = Path(args.dump_payloads)
         folder.mkdir(parents=True, exist_ok=True)
@@ -80,12 +76,19 @@ def inspect(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def _session() -> SparkSession:
+    """For one file: little to shuffle, and plans that run once are not worth compiling."""
+    settings = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false"}
+    return SparkSession.builder.appName("quire").config(map=settings).getOrCreate()
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
-    if not Path(args.file).is_file():
-        _say(f"error: cannot read {args.file}")
+    path = Path(args.file)
+    if not path.is_file() or not path.stat().st_size:  # Spark's reader has no row for an empty file
+        _say(f"error: {args.file}: {'the file is empty' if path.is_file() else 'cannot be read'}")
         return 1
-    session = spark or SparkSession.builder.appName("quire").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+    session = spark or _session()
     try:
         return (extract if args.command == "extract" else inspect)(session, args)
     finally:

@@ -105,7 +105,7 @@ def report(r: dict[str, Any]) -> dict[str, Any]:
     return {
         "path": r["file_id"], "extension": r["extension"], "file_size": r["file_size"],
         "format": {"format": r["format"], "components": [dict(c) for c in r["components"]], "confidence": r["confidence"]},
-        "gzip_candidates": r["candidates"], "gzip_members_inflated": r["members"], "gzip_candidates_rejected": r["rejected"], "decompressed_bytes": r["bytes"], "members": members,
+        "gzip_candidates": r["signatures"], "gzip_members_inflated": r["members"], "gzip_candidates_rejected": r["rejected"], "decompressed_bytes": r["bytes"], "members": members,
         "rejected_candidates": [dict(f) for f in r["failed"]], "json_payloads": r["payloads"], "payloads_by_anchor": {a["anchor"].strip('"'): a["n"] for a in sorted(r["anchors"] or [], key=lambda a: a["anchor"])},
         "merge_tree_chunk_candidates": r["chunks"], "merge_trees": len(trees), "title_trees": roles.count("title"), "body_trees": roles.count("body"), "embedded_component_trees": roles.count("embedded-component"),
         "title_candidates": roles.count("title-candidate"), "body_candidates": roles.count("body-candidate"), "auxiliary_trees": roles.count("auxiliary"),

@@ -33,7 +33,7 @@ def segment(value: Any) -> dict[str, Any]:
             marker = value["marker"]
             ref = _as(int, marker.get("refType")) if isinstance(marker, dict) else None
             return _segment("marker", props, ref_type=ref if ref is not None and ref < 1 << 63 else None)
-    return _segment("unknown", None, raw=strictjson.dumps(value), props=None)
+    return _segment("unknown", None, raw=strictjson.dumps(value)) | {"props": None}
 
 
 #: Column, wire name and whether negative numbers are allowed.

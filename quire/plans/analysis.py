@@ -58,8 +58,8 @@ class Analysis:
 
     @cached_property
     def scans(self) -> DataFrame:
-        """(file_id, file_size, candidates, failed, scan_warnings): one row per file."""
-        return self.decoded.where("member_index IS NULL").select("file_id", "file_size", "candidates", "failed", F.col("warnings").alias("scan_warnings"))
+        """(file_id, file_size, signatures, failed, scan_warnings): one row per file."""
+        return self.decoded.where("member_index IS NULL").select("file_id", "file_size", F.col("candidates").alias("signatures"), "failed", F.col("warnings").alias("scan_warnings"))
 
     @cached_property
     def members(self) -> DataFrame:
@@ -137,9 +137,9 @@ class Analysis:
 
     @cached_property
     def assessment(self) -> DataFrame:
-        """(file_id, file_size, candidates, rejected, members, payloads, chunks, bytes, components, format, confidence)."""
+        """(file_id, file_size, signatures, rejected, members, payloads, chunks, bytes, components, format, confidence)."""
         m = self.members.groupBy("file_id").agg(F.count("*").alias("members"), F.sum("json_payloads").alias("payloads"), F.sum("merge_tree_chunks").alias("chunks"), F.sum("data_len").alias("bytes"))
-        out = self.scans.select("file_id", "file_size", "candidates", F.size("failed").cast("long").alias("rejected")).join(m, "file_id", "left").na.fill(0, ["members", "payloads", "chunks", "bytes"])
+        out = self.scans.select("file_id", "file_size", "signatures", F.size("failed").cast("long").alias("rejected")).join(m, "file_id", "left").na.fill(0, ["members", "payloads", "chunks", "bytes"])
         out = out.join(self.components, "file_id", "left").withColumn("components", F.coalesce("components", F.array().cast("array<struct<name:string,version:string>>")))
         known = identity.is_known(F.transform("components", lambda c: c["name"]))
         return out.withColumn("known", known).withColumn("a", identity.assess(F.col("members"), F.col("payloads"), F.col("chunks"), F.col("known"))).select("*", "a.*").drop("a")
@@ -225,7 +225,7 @@ class Analysis:
         """(file_id, error): files that are empty or no containers."""
         a = self.assessment.where("confidence = 'none'")
         inflated = F.concat(F.col("members").cast("string"), F.lit(" gzip member(s) inflated but none contained an embedded JSON payload"))
-        nothing = F.concat(F.lit("no gzip member could be inflated from "), F.col("file_size").cast("string"), F.lit(" byte(s) ("), F.col("candidates").cast("string"), F.lit(" signature(s) tried)"))
+        nothing = F.concat(F.lit("no gzip member could be inflated from "), F.col("file_size").cast("string"), F.lit(" byte(s) ("), F.col("signatures").cast("string"), F.lit(" signature(s) tried)"))
         return a.select("file_id", F.when(F.col("members") == 0, nothing).otherwise(inflated).alias("error")).unionByName(self.input_errors)
 
     def rendered(self, form: str = "markdown") -> DataFrame:

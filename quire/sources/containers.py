@@ -17,7 +17,10 @@ BATCH_FILES = 16
 
 
 def read(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
-    """(file_id, extension, file_size, content) of the files at the paths; an explicit path of any extension is read."""
+    """(file_id, extension, file_size, content) of the files at the paths; an explicit path of any extension is read.
+
+    Spark's reader has no row for a file of zero bytes; such rows of other tables of files are told apart by split_empty.
+    """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
