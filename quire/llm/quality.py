@@ -108,7 +108,7 @@ def _shouting(m: Measures) -> bool:
 
 
 def _dup_lines(m: Measures) -> bool:
-    return 10 * m.n_dup_lines > 3 * max(1, len(m.lines))
+    return 2 * m.n_dup_lines > max(1, len(m.lines))
 
 
 def _word_length(m: Measures) -> bool:

@@ -100,7 +100,7 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > greatest(1, n_words) OR 10 * n_upper > 3 * greatest(1, n_words)
-            OR 10 * n_dup_lines > 3 * greatest(1, n_lines) OR word_chars < 2 * greatest(1, n_words) OR word_chars > 20 * greatest(1, n_words)) AS kept
+            OR 2 * n_dup_lines > greatest(1, n_lines) OR word_chars < 2 * greatest(1, n_words) OR word_chars > 20 * greatest(1, n_words)) AS kept
 FROM m
 """
 

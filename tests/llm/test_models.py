@@ -122,7 +122,7 @@ def test_secrets(spark, odd_texts):
 
 def test_automaton_merges_and_accepts():
     rng = random.Random(1)
-    words = ["ab" * rng.randint(1, 6) for _ in range(200)]
+    words = ["ab" * int(rng.expovariate(0.5) + 1) for _ in range(400)]
     a = secrets.Automaton()
     for w in words:
         a.add(w)
