@@ -163,6 +163,11 @@ class Analysis:
 
     # ---- documents
 
+    @cached_property
+    def has_logs(self) -> bool:
+        """Whether any file holds operations; without, the plan of documents is spared the replay. Reads the decoded table."""
+        return not self.envelopes.where(F.size("deltas") > 0).isEmpty()
+
     @cached_property
     def bodies(self) -> DataFrame:
         return trees.pick_body(self.trees).select("file_id", F.col("segments").alias("body_segments"), "text_segments", "content_hash")
@@ -190,7 +195,12 @@ class Analysis:
     def documents(self) -> DataFrame:
         """One row per file: segments, content source, title selection, and the warnings of reconstruction."""
         cols = ["file_id", "address", "channel", "package", "confirmed", "n_addresses", "seeded", "segments", "applied", "skipped", "replay_warnings", "accepted"]
-        d = self.scans.select("file_id").join(self.bodies, "file_id", "left").join(self.replays.select(*cols).withColumnRenamed("segments", "replayed"), "file_id", "left")
+        d = self.scans.select("file_id").join(self.bodies, "file_id", "left")
+        if self.has_logs:
+            d = d.join(self.replays.select(*cols).withColumnRenamed("segments", "replayed"), "file_id", "left")
+        else:
+            kinds = {"address": "string", "channel": "string", "package": "string", "confirmed": "boolean", "n_addresses": "long", "seeded": "boolean", "replayed": SEGMENTS, "applied": "long", "skipped": "long", "replay_warnings": "array<string>", "accepted": "boolean"}
+            d = d.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
         d = d.withColumn("content_source", bl.content_source(F.col("text_segments"), F.col("accepted"), F.col("seeded")))
         by_log = F.col("content_source") != "snapshot"
         d = d.withColumn("segments", F.when(by_log, F.col("replayed")).otherwise(F.coalesce("body_segments", F.array().cast(SEGMENTS))))
