@@ -140,9 +140,9 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Network:
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """A network trained on at most sample_rows rows of each language whose id is not held out (fold_of is not 0); null languages don't count."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
-    rows = rows.where((fold_of(F.col("id")) != 0) & F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.where((fold_of(F.col("id")) != 0) & F.col("label").isNotNull())
     middle = F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
-    got = bounded_sample(rows.select("id", "label", F.substring("text", middle, F.lit(SAMPLE_CHARS)).alias("text")), "label", "id", sample_rows).orderBy("label", "id", "text").toPandas()
+    got = bounded_sample(rows.select("id", "label", F.substring("text", middle, F.lit(SAMPLE_CHARS)).alias("text")), "label", "id", sample_rows).where(F.col("text").rlike(r"\p{L}")).orderBy("label", "id", "text").toPandas()
     return train(got["text"].tolist(), got["label"].tolist()) if len(got) else None
 
 

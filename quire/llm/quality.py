@@ -26,8 +26,9 @@ from quire.llm.common import small_batches
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
 SPACES = b" \t\n\x0b\x0c\r"
-#: Rows of the sample on which costs and rejections are estimated.
-SAMPLE_ROWS = 2000
+#: Rows of the sample on which costs and rejections are estimated, and bytes of the longest texts in it.
+SAMPLE_ROWS = 1000
+SAMPLE_BYTES = 100_000
 
 
 class Measures:
@@ -123,28 +124,16 @@ def first_rejection(m: Measures, rules: tuple[Rule, ...]) -> str | None:
     return next((r.name for r in rules if r.rejects(m)), None)
 
 
-def _timed(rules: tuple[Rule, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, hits, rows = [0.0] * len(rules), [0] * len(rules), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                rows += 1
-                for k, r in enumerate(rules):
-                    m = Measures(text)  # each rule pays for all that it needs
-                    began = time.perf_counter()
-                    hits[k] += r.rejects(m)
-                    cost[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "cost": cost, "hits": hits, "rows": [rows] * len(rules)}, pa.schema([("rule", pa.string()), ("cost", pa.float64()), ("hits", pa.int64()), ("rows", pa.int64())]))
-
-    return run
-
-
 def ordered_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second on at most sample_rows rows of docs; the executors time them, the driver gets one row per rule and task."""
-    sample = docs.select(F.col(text_col).cast("string").alias("text")).sample(0.5, seed=7).limit(sample_rows)
-    got = sample.mapInArrow(_timed(rules), "rule string, cost double, hits long, rows long").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("hits").alias("hits"), F.sum("rows").alias("rows")).collect()
-    rate = {r["rule"]: (r["hits"] + 0.5) / (r["rows"] + 1) / max(r["cost"], 1e-9) for r in got}
-    return tuple(sorted(rules, key=lambda r: -rate.get(r.name, 0.0)))
+    """The rules by rejections per second on at most sample_rows rows with texts up to SAMPLE_BYTES, taken from the first partitions that have them, so that only these are read."""
+    sample = docs.select(F.col(text_col).cast("string").alias("text")).where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES).limit(sample_rows).collect()
+    rate = {}
+    for r in rules:
+        hits, began = 0, time.perf_counter()
+        for row in sample:
+            hits += r.rejects(Measures(row["text"]))  # each rule pays for all that it needs
+        rate[r.name] = (hits + 0.5) / (time.perf_counter() - began + 1e-9)
+    return tuple(sorted(rules, key=lambda r: -rate[r.name]))
 
 
 def _judge(rules: tuple[Rule, ...], base: tuple[Rule, ...]):
