@@ -178,8 +178,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, class_id (least id of its class), class_size, n_links (verified links of its text to other texts), keep (the id is the class's) and text_md5.
 
     Equal texts are one node. Nodes that share a band meet in a bucket; within a bucket each is compared with one pivot,
-    the node that shares most buckets with others, so a bucket of n costs n comparisons. Classes found so are then
-    closed exactly: members of a bucket that are still in different classes are compared with each other.
+    the node that shares most buckets with others, so a bucket of n costs n comparisons and never n * n. Pairs whose nodes
+    are in one class by then are not compared. Buckets that still hold several classes are compared with further pivots,
+    one in each round, until a round finds no link.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -216,15 +217,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         links = stored(links.union(more))
         comp = components(links)
-    # The rest of the buckets: a node outside the class of its pivot against all others of the bucket.
-    named = met.join(pivot, "key").join(comp, "node", "left").select("key", "node", "pivot", F.coalesce("comp", "node").alias("comp"))
-    pivot_comp = comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pc"))
-    named = stored(named.join(pivot_comp, "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot")))
-    outside = named.where("comp != pc").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    rest = outside.join(named.where("node != pivot").select("key", F.col("node").alias("b"), F.col("comp").alias("cb")), "key").where("ca != cb")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(verified(rest))
-    if not more.isEmpty():
+    # Links beside the pivots: buckets that still hold several classes get one pivot more in each round, taken from outside
+    # the class of the first one, until a round finds no link.
+    scored = stored(met.join(score, "node").join(pivot, "key").select("key", "node", "score", "pivot"))
+    used = pivot.select("key", F.col("pivot").alias("node"))
+    while True:
+        named = scored.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = named.join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("first")), "pivot", "left").withColumn("first", F.coalesce("first", "pivot"))
+        named = stored(named.join(used, ["key", "node"], "left_anti").select("key", "node", "score", "comp", "first"))
+        chosen = named.where("comp != first").groupBy("key").agg(F.max(F.struct("score", "node", "comp")).alias("top")).select("key", F.col("top.node").alias("b"), F.col("top.comp").alias("cb"))
+        tests = named.join(chosen, "key").where("comp != cb").select(F.col("node").alias("a"), "b").distinct()
+        more = stored(verified(tests))
+        if more.isEmpty():
+            break
+        used = stored(used.union(chosen.select("key", F.col("b").alias("node"))))
         links = stored(links.union(more))
         comp = components(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
