@@ -35,6 +35,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Rows of the sample in which labelled credentials are looked for, and values of each kind that are learned from.
 SAMPLE_ROWS = 20_000
 SAMPLE_VALUES = 300
+#: Ordinary words that the credentials are compared with.
+ORDINARY_VALUES = 3000
 #: Longest value that is learned from; longer ones are still found and scored.
 VALUE_LENGTH = 128
 #: Confidence of ALERGIA's test that two states differ.
@@ -221,14 +223,15 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = labelled_values(text)
                 out += [(k, v, i) for k, v in found if len(v) <= VALUE_LENGTH]
-                out += [("", w, i) for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,}", text)[:20]] if not found else []
+                out += [("", w, i) for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,}", text)[:3]] if not found else []
             yield pa.RecordBatch.from_pydict({"kind": [x[0] for x in out], "value": [x[1][:VALUE_LENGTH] for x in out], "h": [x[2] for x in out]}, pa.schema([("kind", pa.string()), ("value", pa.string()), ("h", pa.int64())]))
 
     h = F.xxhash64(F.col(id_col).cast("string"))
     rows = docs.select(h.alias("h"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull() & (F.col("h").cast("double") / F.lit(2.0**64) + 0.5 <= F.lit(min(1.0, sample_rows / max(1, n)))))
     found = rows.mapInArrow(run, "kind string, value string, h long").groupBy("kind", "value").agg(F.min("h").alias("h"))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
-    found = found.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == "", 20 * SAMPLE_VALUES).otherwise(SAMPLE_VALUES))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= ORDINARY_VALUES)  # a fixed rank limits each task's share before the shuffle
+    found = found.where((F.col("kind") == "") | (F.col("rank") <= SAMPLE_VALUES))
     values: dict[str, list[str]] = {}
     for r in found.orderBy("kind", "rank").collect():
         values.setdefault(r["kind"], []).append(r["value"])
