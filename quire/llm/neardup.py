@@ -25,6 +25,8 @@ WORDS = 5
 THRESHOLD = 0.8
 #: 28 bands of 6 registers: a pair at 0.8 shares a band with probability 0.9998, one at 0.3 with 0.02.
 BANDS, ROWS = 28, 6
+#: Rows of a batch of single shingles.
+TOKENS = 1 << 19
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,6 +139,24 @@ def shingle_kernel(k: int):
     return run
 
 
+def token_kernel(batch_tokens: int = TOKENS):
+    """(node, shingles) -> (node, n, shingle): one row for each of a node's n shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(1).to_pylist()
+            n = np.array([len(x) // 8 for x in data], dtype=np.int64)
+            ends, row = np.cumsum(n), 0
+            while row < len(n):
+                end = max(row + 1, int(np.searchsorted(ends, ends[row] - n[row] + batch_tokens, "right")))
+                at = np.repeat(np.arange(row, end), n[row:end])
+                h = np.frombuffer(b"".join(data[row:end]), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(n[at]), pa.array(h)], ["node", "n", "shingle"])
+                row = end
+
+    return run
+
+
 def verify_kernel(threshold: float):
     """(a, b, shingles of a, shingles of b) -> the pairs whose Jaccard similarity reaches the threshold."""
 
@@ -174,6 +194,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of nodes with different comp; of those whose Jaccard similarity reaches the threshold, all. sets holds (node, comp, shingles).
+
+    A prefix filter (Xiao et al., 2008): with the shingles of every node in one order, rarest first, two nodes of x <= y
+    shingles with a similarity of t share one of the first x - ceil(2t / (1 + t) x) + 1 of the smaller and of the first
+    y - ceil(t y) + 1 of the larger, and what follows their first common one must suffice. Shingles of a single node come
+    first and meet nothing, so texts with a common passage and enough of their own drop out before the join.
+    """
+    t, least = threshold, lambda share, n: F.ceil(F.lit(share) * n - F.lit(1e-6))
+    tokens = sets.select("node", "shingles").mapInArrow(token_kernel(), "node binary, n long, shingle long")
+    common = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    own = tokens.join(common, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("w"))
+    own = own.withColumn("single", F.col("n") - F.size("w"))
+    front = F.greatest(F.lit(0), F.col("n") - least(t, F.col("n")) + 1 - F.col("single")).cast("int")
+    own = own.select("node", "n", "single", F.posexplode(F.slice("w", F.lit(1), front)).alias("i", "x"))
+    own = own.select("node", "n", F.col("x.shingle").alias("shingle"), (F.col("single") + F.col("i")).alias("at")).join(sets.select("node", "comp"), "node")
+    own = stored(own)
+    y = own.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "comp")))
+    both = own.where(F.col("at") <= F.col("n") - least(2 * t / (1 + t), F.col("n"))).join(y, "shingle")
+    both = both.where((F.col("comp") != F.col("comp_y")) & ((F.col("n") < F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("node") < F.col("node_y")))))
+    both = both.where(F.least(F.col("n") - F.col("at"), F.col("n_y") - F.col("at_y")) >= least(t / (1 + t), F.col("n") + F.col("n_y")))
+    return both.select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = WORDS) -> DataFrame:
     """One row per document: id, class_id (least id of its class), class_size, n_links (verified links of its text to other texts), keep (the id is the class's) and text_md5.
 
@@ -233,6 +277,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         used = stored(used.union(chosen.select("key", F.col("b").alias("node"))))
         links = stored(links.union(more))
         comp = components(links)
+    # Pairs that no pivot has bridged.
+    named = met.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("key")
+    apart_ = stored(named.join(mixed, "key", "left_semi").select("node", "comp").distinct().join(sets, "node"))
+    more = stored(verified(prefix_pairs(apart_, threshold)))
+    if not more.isEmpty():
+        links = stored(links.union(more))
+        comp = components(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     comp = comp.join(degree, "node", "left")
     rows_ = base.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5")).withColumn("node", F.unhex("text_md5"))

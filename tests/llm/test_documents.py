@@ -1,9 +1,11 @@
 """Near-duplicates, line dedup, urls, and the pipeline."""
 
+import hashlib
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,41 @@ def test_near_duplicates(make, copies, odd_texts):
     assert all(r["keep"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_links_beside_unlike_pivots(make):
+    """One bucket {P, C, A, B}: A and B are near copies, P and C like neither and the first two pivots."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    node = lambda t: hashlib.md5(t.encode()).digest()
+    bucket = neardup.signature_kernel(1, 1, 5)
+
+    def held(t):
+        (got,) = bucket(iter([pa.RecordBatch.from_pydict({"node": [node(t)], "text": [t]})]))
+        return got.column(1).to_pylist()[0][0]
+
+    common = words(60)
+    a = " ".join(common + words(60))
+    b = a + " tail"
+    texts = [" ".join(common + words(60)) for _ in range(200)]
+    most = max(set(map(held, texts)), key=[held(t) for t in texts].count)
+    texts = sorted((t for t in texts if held(t) == most), key=node)
+    assert len(texts) > 3
+    a, others = texts[0], texts[-2:]
+    b = next(t for t in (f"{a} tail{i}" for i in range(1000)) if held(t) == most and node(t) < node(others[0]))
+    rows = list(enumerate([*others, a, b]))
+    got = neardup.near_duplicates(make(rows), bands=1, rows=1).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(brute_classes(rows)) == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
+def test_prefix_pairs_hold_all_near_pairs(spark, copies):
+    sets = [{tuple(x) for x in shingles(t)} for t in sorted(set(copies))]
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    rows = [(i.to_bytes(2, "big"), i.to_bytes(2, "big"), np.array(sorted(number[x] for x in s), dtype=np.uint64).tobytes()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node binary, comp binary, shingles binary")
+    got = {tuple(sorted(int.from_bytes(x, "big") for x in r)) for r in neardup.prefix_pairs(df, 0.8).collect()}
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(near) > 100 and near <= got and len(got) < 3 * len(near)
+
+
 def test_no_copies_and_no_rows(make):
     assert [r["keep"] for r in neardup.near_duplicates(make(["a b c", "d e f"])).collect()] == [True, True]
     assert neardup.near_duplicates(make([])).count() == 0
