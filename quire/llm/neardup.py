@@ -1,10 +1,10 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a shingle is five consecutive words, and a text of one
-to four words is one shingle. The shingles of a text are weighted by how often they occur. Every weighted shingle
+to four words is one shingle. The distinct shingles of a text all weigh the same, as in the verification. Every shingle
 emits a Poisson process of arrivals over the registers of the signature; a register keeps the shingle that arrived
-first, so two registers agree with the probability Jaccard similarity of the two texts (for texts without repeated
-shingles this is the Jaccard similarity). A shingle stops emitting once its next arrival is later than every register.
+first, so two registers agree with the Jaccard similarity of the two texts (with weights, with the probability Jaccard
+similarity). A shingle stops emitting once its next arrival is later than every register.
 
 Defined cases: texts that are equal are one node whatever their number; a null text is alone in its class and so is
 a text without words unless an equal text exists; a null id keeps its row; a class is named by its least id.
@@ -114,8 +114,8 @@ def signature_kernel(bands: int, rows: int, k: int):
         for batch in batches:
             for first, end, buf, offsets in text_chunks(batch.column(1)):
                 n = end - first
-                doc, h, weight = distinct_weights(*shingles_of(buf, offsets, k))
-                got = band_hashes(prob_minhash(doc, h, weight, n, bands * rows), bands, rows)
+                doc, h, _ = distinct_weights(*shingles_of(buf, offsets, k))
+                got = band_hashes(prob_minhash(doc, h, np.ones(len(h)), n, bands * rows), bands, rows)
                 some = np.flatnonzero(np.bincount(doc, minlength=n))
                 values = pa.array(got[some].ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), values)

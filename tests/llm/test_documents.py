@@ -103,6 +103,17 @@ def test_links_beside_unlike_pivots(make):
     assert {r["doc_id"]: r["class_id"] for r in got} == dict(brute_classes(rows)) == {0: 0, 1: 1, 2: 2, 3: 2}
 
 
+def test_repeat_counts_do_not_matter(make):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(10):
+        single, again = words(150), words(14)
+        rows += [(2 * i, " ".join(single + again * 2)), (2 * i + 1, " ".join(single + again * 60))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(make(rows)).collect()}
+    assert got == dict(brute_classes(rows)) == {i: i // 2 * 2 for i in range(20)}
+
+
 def test_prefix_pairs_hold_all_near_pairs(spark, copies):
     sets = [{tuple(x) for x in shingles(t)} for t in sorted(set(copies))]
     number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
