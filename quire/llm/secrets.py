@@ -2,14 +2,14 @@
 
 Base spans, leftmost and without overlap for each kind: `assign` (a key word, a sign and a value of 6 characters or
 more; the span is the whole match), `access` (AKIA and capitals or digits, 20 characters or more) and `hex` (24 or more
-of 0-9a-f). The values found in a bounded sample of documents are labelled credentials: for each kind a prefix tree of
+of 0-9a-f). The values found in all documents, a bounded number by hash, are labelled credentials: for each kind a prefix tree of
 their character classes is built, its states are merged where their frequencies are statistically compatible, and the
 result is a probabilistic automaton. Every other run of 16 or more of `[A-Za-z0-9+/_.=-]` with a letter and a digit is
 then a candidate; it becomes a span of kind `format` if its likelihood per character under some automaton is at least
 what nearly all labelled values reach, and above its likelihood as ordinary text. Base spans always stay.
 
 Defined cases: null is as empty and has no spans; offsets are code points, the end exclusive; rows are judged one by
-one; without any credential in the sample there is no automaton and no `format` span.
+one; without any credential there is no automaton and no `format` span.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Rows of the sample in which labelled credentials are looked for, and values of each kind that are learned from.
+#: Rows of the sample in which ordinary words are looked for, and values of each kind, of all rows, that are learned from.
 SAMPLE_ROWS = 20_000
 SAMPLE_VALUES = 300
 #: Ordinary words that the credentials are compared with.
@@ -213,21 +213,22 @@ def named(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Grammar:
-    """Learns from at most SAMPLE_VALUES values of each kind in about sample_rows rows, chosen by a hash of the id."""
+    """Learns from at most SAMPLE_VALUES values of each kind in all rows, and ordinary words of about sample_rows rows; both chosen by a hash of the id."""
     small_batches(docs.sparkSession)
     n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, text, drawn in zip(*(c.to_pylist() for c in batch.columns)):
                 found = labelled_values(text)
                 out += [(k, v, i) for k, v in found if len(v) <= VALUE_LENGTH]
-                out += [("", w, i) for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,}", text)[:3]] if not found else []
+                out += [("", w, i) for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,}", text)[:3]] if drawn and not found else []
             yield pa.RecordBatch.from_pydict({"kind": [x[0] for x in out], "value": [x[1][:VALUE_LENGTH] for x in out], "h": [x[2] for x in out]}, pa.schema([("kind", pa.string()), ("value", pa.string()), ("h", pa.int64())]))
 
     h = F.xxhash64(F.col(id_col).cast("string"))
-    rows = docs.select(h.alias("h"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull() & (F.col("h").cast("double") / F.lit(2.0**64) + 0.5 <= F.lit(min(1.0, sample_rows / max(1, n)))))
+    drawn = h.cast("double") / F.lit(2.0**64) + 0.5 <= F.lit(min(1.0, sample_rows / max(1, n)))
+    rows = docs.select(h.alias("h"), F.col(text_col).cast("string").alias("text"), drawn.alias("drawn")).where(F.col("text").isNotNull())
     found = rows.mapInArrow(run, "kind string, value string, h long").groupBy("kind", "value").agg(F.min("h").alias("h"))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= ORDINARY_VALUES)  # a fixed rank limits each task's share before the shuffle
