@@ -54,11 +54,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.deduplicated(table(spark, sf_dir, "documents"))
-    removed = F.coalesce("removed", F.array().cast("array<struct<start:int,end:int,words:int>>"))
-    spans = F.array_join(F.transform(removed, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    words = F.aggregate(removed, F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     kept = F.coalesce("kept_text", F.lit(""))
-    return out.select("doc_id", "n_units", F.size(removed).cast("long").alias("n_removed"), words.alias("removed_words"), spans.alias("removed_spans"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), words.alias("removed_words"), spans.alias("removed_spans"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,22 +148,29 @@ FROM h LEFT JOIN fit ON fit.page_id = h.page_id JOIN t ON t.page_id = h.page_id
 """
 
 _LINES_SQL = rf"""
-WITH l AS (
-  SELECT doc_id, k, n, ls[k] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, len(string_split(coalesce(text, ''), chr(10))) AS n, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k FROM documents)
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*')) AS lead,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ws FROM documents
+), w AS (
+  SELECT doc_id, lead, k, ws[k] AS tok, regexp_extract(ws[k], '^[^\x20\x09-\x0D]+') AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM t)
 ), p AS (
-  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS start,
-         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l
+  SELECT *, lead + sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY k) - length(tok) AS start,
+         coalesce(sum(CASE WHEN regexp_matches(word, '[{linededup.MARKS}]$') OR contains(tok, chr(10)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM w
 ), u AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit, len(string_split(norm, ' ')) AS words,
-         row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS later FROM p WHERE norm <> ''
-), r AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM u WHERE later),
-gone AS (SELECT doc_id, k, start, line, words FROM r QUALIFY sum(words) OVER (PARTITION BY doc_id, run) >= {linededup.MIN_WORDS}),
-spans AS (SELECT doc_id, count(*) AS n, sum(words) AS words, string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT), ',' ORDER BY k) AS spans FROM gone GROUP BY doc_id),
-kept AS (SELECT p.doc_id, string_agg(p.line || CASE WHEN p.k = p.n THEN '' ELSE chr(10) END, '' ORDER BY p.k) AS t FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.k = p.k WHERE gone.k IS NULL GROUP BY p.doc_id),
-n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(spans.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans.words, 0) AS BIGINT) AS removed_words, coalesce(spans, '') AS removed_spans,
-       CAST(length(coalesce(kept.t, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept.t, '')) AS kept_sha256
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN spans ON spans.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+  SELECT doc_id, unit, count(*) AS words, min(start) AS start, max(start + length(tok)) AS stop,
+         string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY k) AS norm FROM p GROUP BY doc_id, unit
+), later AS (SELECT * FROM u QUALIFY min(doc_id) OVER (PARTITION BY norm) <> doc_id),
+runs AS (
+  SELECT doc_id, run, min(unit) AS first, max(unit) AS last, sum(words) AS words, min(start) AS start, max(stop) AS stop
+  FROM (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM later) GROUP BY doc_id, run HAVING sum(words) >= {linededup.MIN_WORDS}
+), spans AS (
+  SELECT doc_id, count(*) AS n, sum(words) AS words, string_agg(CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start) AS spans FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT p.doc_id, string_agg(tok, '' ORDER BY k) AS t FROM p LEFT JOIN runs ON runs.doc_id = p.doc_id AND p.unit BETWEEN first AND last WHERE runs.doc_id IS NULL GROUP BY p.doc_id
+)
+SELECT t.doc_id, CAST(coalesce(spans.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans.words, 0) AS BIGINT) AS removed_words, coalesce(spans, '') AS removed_spans,
+       CAST(length(substr(t.t, 1, lead) || coalesce(kept.t, '')) AS BIGINT) AS kept_chars, sha256(substr(t.t, 1, lead) || coalesce(kept.t, '')) AS kept_sha256
+FROM t LEFT JOIN spans ON spans.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {
