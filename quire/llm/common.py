@@ -16,6 +16,9 @@ BATCH_ROWS = 1000
 #: Bytes of text that the numpy kernels hold at once (they need some 40 times that in arrays).
 CHUNK_BYTES = 1 << 20
 
+#: Keys that may count as hot, the least rows of one that does, and the parts into which its rows are dealt.
+HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 32
+
 #: The separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -113,6 +116,28 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, such that df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """The keys that hold more than 1 / HOT_KEYS of all rows, so HOT_KEYS at most: few enough to be broadcast, whatever the input. counts holds each key once, with its rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(key)
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, by: str) -> DataFrame:
+    """Inner join of big with small, which holds each key once; rows of hot keys are dealt over SALTS tasks by a hash of their column by."""
+    marked = F.broadcast(hot.select(key, F.lit(SALTS).alias("_salts")))
+    spread = big.join(marked, key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(by).cast("string")), F.lit(SALTS))).cast("int")).drop("_salts")
+    times = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    return spread.join(small.join(marked, key, "left").withColumn("_salt", F.explode(times)).drop("_salts"), [key, "_salt"]).drop("_salt")
+
+
 def bounded_sample(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
     """At most per_label rows of every label, those whose key hashes lowest: a bounded, repeatable sample for fitting a model.
 

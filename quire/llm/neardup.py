@@ -1,13 +1,15 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a shingle is five consecutive words, and a text of one
-to four words is one shingle. The distinct shingles of a text all weigh the same, as in the verification. Every shingle
-emits a Poisson process of arrivals over the registers of the signature; a register keeps the shingle that arrived
-first, so two registers agree with the Jaccard similarity of the two texts (with weights, with the probability Jaccard
-similarity). A shingle stops emitting once its next arrival is later than every register.
+to four words is one shingle. A shingle weighs as often as it occurs in its text. Every shingle emits a Poisson process
+of arrivals, at the rate of its weight, over the registers of the signature; a register keeps the shingle that arrived
+first, so two registers agree with the probability Jaccard similarity of the two texts (Moulton and Jiang, 2018). A
+shingle stops emitting once its next arrival is later than every register. Links are pairs of texts whose probability
+Jaccard similarity, computed from the weights, is THRESHOLD or more; where no shingle repeats it is the Jaccard similarity.
 
 Defined cases: texts that are equal are one node whatever their number; a null text is alone in its class and so is
-a text without words unless an equal text exists; a null id keeps its row; a class is named by its least id.
+a text without words unless an equal text exists; a null id keeps its row; a class is named by its least id, and its
+kept row is the one of least id and, at equal ids, of least MD5; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -16,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, mix64, prefix_hash, small_batches, span_hash, stored, text_chunks, words_of
+from quire.llm.common import LOWER, free_name, hot_keys, mix64, prefix_hash, salted_join, small_batches, span_hash, stored, text_chunks, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
 #: 28 bands of 6 registers: a pair at 0.8 shares a band with probability 0.9998, one at 0.3 with 0.02.
 BANDS, ROWS = 28, 6
+#: Rounds in which open buckets get one pivot more, before all pairs that are left are compared.
+ROUNDS = 2
 #: Rows of a batch of single shingles.
 TOKENS = 1 << 19
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -108,69 +112,79 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signature_kernel(bands: int, rows: int, k: int):
-    """(node, text) -> (node, bands); a text without words has no bands."""
+    """(node, row, text) -> (node, row, bands); a text without words has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, buf, offsets in text_chunks(batch.column(1)):
+            for first, end, buf, offsets in text_chunks(batch.column(2)):
                 n = end - first
-                doc, h, _ = distinct_weights(*shingles_of(buf, offsets, k))
-                got = band_hashes(prob_minhash(doc, h, np.ones(len(h)), n, bands * rows), bands, rows)
+                doc, h, weight = distinct_weights(*shingles_of(buf, offsets, k))
+                got = band_hashes(prob_minhash(doc, h, weight.astype(np.float64), n, bands * rows), bands, rows)
                 some = np.flatnonzero(np.bincount(doc, minlength=n))
-                values = pa.array(got[some].ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n).take(pa.array(some)), lists], ["node", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(got[some].ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n).take(pa.array(some)) for c in (0, 1)), lists], ["node", "row", "bands"])
 
     return run
 
 
 def shingle_kernel(k: int):
-    """(node, text) -> (node, shingles): the sorted distinct shingle hashes as bytes."""
+    """(node, text) -> (node, shingles, counts): the sorted distinct shingle hashes as bytes, and their counts where one is above 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, buf, offsets in text_chunks(batch.column(1)):
                 n = end - first
-                doc, h, _ = distinct_weights(*shingles_of(buf, offsets, k))
-                at = np.searchsorted(doc, np.arange(n + 1))
-                data = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(data, pa.binary())], ["node", "shingles"])
+                doc, h, weight = distinct_weights(*shingles_of(buf, offsets, k))
+                at, weight = np.searchsorted(doc, np.arange(n + 1)), weight.astype(np.uint32)
+                spans = list(zip(at[:-1], at[1:]))
+                data, counts = [h[a:b].tobytes() for a, b in spans], [weight[a:b].tobytes() if (weight[a:b] > 1).any() else b"" for a, b in spans]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], ["node", "shingles", "counts"])
 
     return run
 
 
+def weighted_set(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(shingles, np.uint64)
+    return h, np.frombuffer(counts, np.uint32).astype(np.float64) if counts else np.ones(len(h))
+
+
 def token_kernel(batch_tokens: int = TOKENS):
-    """(node, shingles) -> (node, n, shingle): one row for each of a node's n shingles."""
+    """(node, shingles, counts) -> (node, shingle, mass): a row for each of a node's shingles, with its share of the node's weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column(1).to_pylist()
+            data, counts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             n = np.array([len(x) // 8 for x in data], dtype=np.int64)
             ends, row = np.cumsum(n), 0
             while row < len(n):
                 end = max(row + 1, int(np.searchsorted(ends, ends[row] - n[row] + batch_tokens, "right")))
                 at = np.repeat(np.arange(row, end), n[row:end])
                 h = np.frombuffer(b"".join(data[row:end]), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(n[at]), pa.array(h)], ["node", "n", "shingle"])
+                mass = [w / w.sum() for w in (weighted_set(x, c)[1] for x, c in zip(data[row:end], counts[row:end]))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(h), pa.array(np.concatenate(mass))], ["node", "shingle", "mass"])
                 row = end
 
     return run
 
 
+def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum over common elements i of 1 / sum over all j of max(x_j / x_i, y_j / y_i)."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    u, v = x[1][i], y[1][j]
+    order = np.argsort(u / v, kind="stable")  # those after i have x_j / x_i as the larger quotient, those before it y_j / y_i
+    u, v = u[order], v[order]
+    above, below = np.cumsum(u[::-1])[::-1], np.cumsum(v) - v
+    return float((1 / ((x[1].sum() - u.sum() + above) / u + (y[1].sum() - v.sum() + below) / v)).sum())
+
+
 def verify_kernel(threshold: float):
-    """(a, b, shingles of a, shingles of b) -> the pairs whose Jaccard similarity reaches the threshold."""
+    """(a, b, weighted sets of a and of b) -> the pairs whose probability Jaccard similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = sorted((len(x), len(y)))
-                if not small or small < threshold * large:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both))
+            keep = [probability_jaccard(weighted_set(x, n), weighted_set(y, m)) >= threshold - 1e-9 for x, n, y, m in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -194,104 +208,121 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of nodes with different comp; of those whose Jaccard similarity reaches the threshold, all. sets holds (node, comp, shingles).
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, comp) with the components joined that the links connect; a node that comp lacks is a component of its own."""
+    edges = named(links, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct()
+    roots = stored(components(edges).withColumnsRenamed({"node": "label", "comp": "root"}))
+    old = comp.join(roots, F.col("comp") == F.col("label"), "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    new = roots.join(comp, F.col("label") == F.col("node"), "left_anti").select(F.col("label").alias("node"), F.col("root").alias("comp"))
+    return stored(old.union(new))
+
 
-    A prefix filter (Xiao et al., 2008): with the shingles of every node in one order, rarest first, two nodes of x <= y
-    shingles with a similarity of t share one of the first x - ceil(2t / (1 + t) x) + 1 of the smaller and of the first
-    y - ceil(t y) + 1 of the larger, and what follows their first common one must suffice. Shingles of a single node come
-    first and meet nothing, so texts with a common passage and enough of their own drop out before the join.
+def named(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """pairs (a, b) with the components ca and cb of their nodes."""
+    out = pairs.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
+    out = out.join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    return out.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+
+
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of nodes with different comp; of those whose probability Jaccard similarity reaches the threshold, all. sets holds (node, comp, shingles, counts).
+
+    A prefix filter: the similarity is at most the common mass of the two (the sum of the lesser shares), and with the
+    shingles of every node in one order, rarest first, that is at most what either node has from the first common
+    shingle on. So nodes at the threshold t meet on a shingle before which neither has more than 1 - t of its mass. Between
+    nodes without repeated shingles the similarity is the Jaccard similarity, which asks for more: of n and m shingles,
+    t / (1 + t) (n + m) are common, and as many must follow in both. Shingles of one component meet nothing. Of each shingle's
+    nodes, those outside its largest component are joined with all, so that a component never meets itself.
     """
-    t, least = threshold, lambda share, n: F.ceil(F.lit(share) * n - F.lit(1e-6))
-    tokens = sets.select("node", "shingles").mapInArrow(token_kernel(), "node binary, n long, shingle long")
-    common = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    own = tokens.join(common, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("w"))
-    own = own.withColumn("single", F.col("n") - F.size("w"))
-    front = F.greatest(F.lit(0), F.col("n") - least(t, F.col("n")) + 1 - F.col("single")).cast("int")
-    own = own.select("node", "n", "single", F.posexplode(F.slice("w", F.lit(1), front)).alias("i", "x"))
-    own = own.select("node", "n", F.col("x.shingle").alias("shingle"), (F.col("single") + F.col("i")).alias("at")).join(sets.select("node", "comp"), "node")
-    own = stored(own)
-    y = own.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "comp")))
-    both = own.where(F.col("at") <= F.col("n") - least(2 * t / (1 + t), F.col("n"))).join(y, "shingle")
-    both = both.where((F.col("comp") != F.col("comp_y")) & ((F.col("n") < F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("node") < F.col("node_y")))))
-    both = both.where(F.least(F.col("n") - F.col("at"), F.col("n_y") - F.col("at_y")) >= least(t / (1 + t), F.col("n") + F.col("n_y")))
-    return both.select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct()
+    about = sets.select("node", "comp", (F.octet_length("shingles") / 8).cast("long").alias("n"), (F.octet_length("counts") == 0).alias("flat"))
+    tokens = stored(sets.select("node", "shingles", "counts").mapInArrow(token_kernel(), "node binary, shingle long, mass double").join(about, "node"))
+    per = tokens.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
+    common = per.groupBy("shingle").agg(F.sum("k").alias("df"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1")
+    common = stored(common.select("shingle", "df", F.col("top.comp").alias("top")))
+    order = Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(0)), "shingle")
+    before = F.coalesce(F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    front = tokens.join(common, "shingle", "left").withColumns({"before": before, "rest": F.col("n") - F.row_number().over(order) + 1})
+    front = stored(front.where(F.col("df").isNotNull() & (F.col("before") <= 1 - threshold + 1e-9)).select("shingle", "node", "comp", "n", "flat", "rest", "top"))
+    other = front.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("node", "comp", "n", "flat", "rest")))
+    enough = F.least("rest", "rest_y") >= threshold / (1 + threshold) * (F.col("n") + F.col("n_y")) - 1e-6
+    both = front.where("comp != top").join(other, "shingle").where((F.col("comp") != F.col("comp_y")) & (~F.col("flat") | ~F.col("flat_y") | enough))
+    return both.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = WORDS) -> DataFrame:
-    """One row per document: id, class_id (least id of its class), class_size, n_links (verified links of its text to other texts), keep (the id is the class's) and text_md5.
+    """One row per document: id, class_id (least id of its class), class_size, n_links (verified links of its text to other texts), keep (its id and text are those that the class keeps) and text_md5.
 
     Equal texts are one node. Nodes that share a band meet in a bucket; within a bucket each is compared with one pivot,
     the node that shares most buckets with others, so a bucket of n costs n comparisons and never n * n. Pairs whose nodes
-    are in one class by then are not compared. Buckets that still hold several classes are compared with further pivots,
-    one in each round, until a round finds no link.
+    are in one class by then are not compared. A bucket is open while its members beside the pivots are of several
+    classes. Open buckets, and only these, get another pivot in each of ROUNDS rounds, and all pairs of different classes
+    among the nodes that are in open buckets even then come from prefix_pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = base.where(F.col("text").isNotNull()).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-    signed = texts.mapInArrow(signature_kernel(bands, rows, k), "node binary, bands array<bigint>")
-    signed = stored(signed.groupBy("node").agg(F.first("bands").alias("bands")))
+    texts = base.where(F.col("text").isNotNull()).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), F.xxhash64(F.col("id").cast("string")).alias("row"), "text")
+    signed = texts.mapInArrow(signature_kernel(bands, rows, k), "node binary, row long, bands array<bigint>")
+    signed = stored(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("row").alias("row")))
     in_band = signed.select(F.explode("bands").alias("key"), "node")
     shared = in_band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(in_band.join(shared, "key"))
     score = met.groupBy("node").agg(F.sum("n").alias("score"))
-    pivot = met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
-    pairs = met.join(pivot, "key").where("node != pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("times"))
-    pairs = stored(pairs)
-    in_pairs = met.select("node").distinct()
-    sets = texts.join(in_pairs, "node", "left_semi").mapInArrow(shingle_kernel(k), "node binary, shingles binary")
-    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    met = stored(met.join(score, "node").select("key", "node", "score"))
+    pivot = stored(met.groupBy("key").agg(F.max(F.struct("score", "node")).alias("top")).select("key", F.col("top.node").alias("pivot")))
+    members = stored(met.join(pivot, "key").where("node != pivot"))
+    pairs = stored(members.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("times")))
+    # Of equal texts one row is read again: the key holds the row, so that copies do not meet in one task.
+    wanted = signed.select("node", "row").join(met.select("node").distinct(), "node", "left_semi")
+    sets = texts.join(wanted, ["node", "row"], "left_semi").select("node", "text").mapInArrow(shingle_kernel(k), "node binary, shingles binary, counts binary")
+    sets = stored(sets.groupBy("node").agg(F.first(F.struct("shingles", "counts")).alias("s")).select("node", "s.*"))
 
     def verified(candidates: DataFrame) -> DataFrame:
-        x = candidates.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return x.mapInArrow(verify_kernel(threshold), "a binary, b binary")
+        x = candidates.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.col("counts").alias("n")), "a")
+        hot = hot_keys(candidates.groupBy("b").agg(F.count("*").alias("n")), "b", "n")
+        x = salted_join(x, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.col("counts").alias("m")), "b", hot, "a").select("a", "b", "x", "n", "y", "m")
+        return stored(x.mapInArrow(verify_kernel(threshold), "a binary, b binary"))
 
-    best = pairs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    links = stored(verified(best))
+    best = stored(pairs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("top")).select("a", F.col("top.b").alias("b")))
+    links = verified(best)
     comp = components(links)
-
-    def apart(candidates: DataFrame) -> DataFrame:
-        named = candidates.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
-        named = named.join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    more = stored(verified(apart(pairs.join(best, ["a", "b"], "left_anti"))))
-    if not more.isEmpty():
-        links = stored(links.union(more))
-        comp = components(links)
-    # Links beside the pivots: buckets that still hold several classes get one pivot more in each round, taken from outside
-    # the class of the first one, until a round finds no link.
-    scored = stored(met.join(score, "node").join(pivot, "key").select("key", "node", "score", "pivot"))
-    used = pivot.select("key", F.col("pivot").alias("node"))
-    while True:
-        named = scored.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        named = named.join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("first")), "pivot", "left").withColumn("first", F.coalesce("first", "pivot"))
-        named = stored(named.join(used, ["key", "node"], "left_anti").select("key", "node", "score", "comp", "first"))
-        chosen = named.where("comp != first").groupBy("key").agg(F.max(F.struct("score", "node", "comp")).alias("top")).select("key", F.col("top.node").alias("b"), F.col("top.comp").alias("cb"))
-        tests = named.join(chosen, "key").where("comp != cb").select(F.col("node").alias("a"), "b").distinct()
-        more = stored(verified(tests))
-        if more.isEmpty():
+    more = verified(stored(named(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), comp).where("ca != cb").select("a", "b")))
+    left = members.select("key", "node", "score")
+    for step in range(ROUNDS + 1):
+        if not more.isEmpty():
+            links, comp = stored(links.union(more)), merged(comp, more)
+        left = left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        still = left.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.struct("score", "node", "comp")).alias("top")).where("least != most")
+        left = stored(left.join(still.select("key", F.col("top.node").alias("pivot"), F.col("top.comp").alias("class")), "key"))
+        if step == ROUNDS or left.isEmpty():
             break
-        used = stored(used.union(chosen.select("key", F.col("b").alias("node"))))
-        links = stored(links.union(more))
-        comp = components(links)
-    # Pairs that no pivot has bridged.
-    named = met.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("key")
-    apart_ = stored(named.join(mixed, "key", "left_semi").select("node", "comp").distinct().join(sets, "node"))
-    more = stored(verified(prefix_pairs(apart_, threshold)))
-    if not more.isEmpty():
-        links = stored(links.union(more))
-        comp = components(links)
+        more = verified(stored(left.where("comp != class").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()))
+        left = left.where("node != pivot").select("key", "node", "score")
+    if not left.isEmpty():
+        more = verified(stored(prefix_pairs(stored(left.select("node", "comp").distinct().join(sets, "node")), threshold)))
+        if not more.isEmpty():
+            links, comp = stored(links.union(more)), merged(comp, more)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    comp = comp.join(degree, "node", "left")
-    rows_ = base.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5")).withColumn("node", F.unhex("text_md5"))
-    lone = F.concat(F.lit(b"\x00"), F.encode(F.coalesce(F.col("id").cast("string"), F.uuid()), "UTF-8"))
-    rows_ = rows_.withColumn("node", F.coalesce("node", lone))
-    named = rows_.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies")).join(comp, "node", "left")
-    named = stored(named.select("node", "least", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    classes = named.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = named.join(classes, "comp").select("node", "class_id", "class_size", "n_links")
-    return rows_.join(named, "node").select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("keep"), "text_md5")
+    rows_ = base.where(F.col("text").isNotNull()).select("id", F.md5(F.col("text").cast("binary")).alias("text_md5")).withColumn("node", F.unhex("text_md5"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    nodes = rows_.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("copies")).join(comp.join(degree, "node", "left"), "node", "left")
+    nodes = stored(nodes.select("node", "first", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    classes = nodes.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("copies").alias("class_size"))
+    small = stored(nodes.join(classes, "comp").select("node", "copies", "kept", "class_size", "n_links"))
+    out = salted_join(rows_, small.drop("copies"), "node", hot_keys(small, "node", "copies"), "id")
+    keep = (F.col("node") == F.col("kept.node")) & F.col("id").eqNullSafe(F.col("kept.id"))
+    out = out.select(F.col("id").alias(id_col), F.col("kept.id").alias("class_id"), "class_size", "n_links", keep.alias("keep"), "text_md5")
+    alone = base.where(F.col("text").isNull()).select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(True), F.lit(None).cast("string"))
+    return out.union(alone)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that their classes keep: one for each class; of equal rows, one.
+
+    Texts are shuffled once, by row and digest, so that equal texts of different ids do not meet in one task.
+    """
+    row, md5 = F.xxhash64(F.col(id_col).cast("string")), F.md5(F.col(text_col).cast("string").cast("binary"))
+    key = [free_name(docs, "row"), free_name(docs, "md5")]
+    kept = near_duplicates(docs, id_col, text_col).where("keep AND text_md5 IS NOT NULL").select(row.alias(key[0]), F.col("text_md5").alias(key[1])).distinct()
+    texts = docs.where(F.col(text_col).isNotNull()).withColumns(dict(zip(key, (row, md5))))
+    return texts.join(kept, key, "left_semi").dropDuplicates(key).drop(*key).union(docs.where(F.col(text_col).isNull()))

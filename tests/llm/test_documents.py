@@ -3,18 +3,33 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import linededup, neardup, urls
+from quire.llm import common, neardup, urls
 
 
 def shingles(text):
     w = [x.lower() if x.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def similarity(x, y):
+    """Probability Jaccard similarity, term by term."""
+    every = [*(x.keys() & y.keys()), *(x.keys() ^ y.keys())]
+    u, v = (np.array([z[i] for i in every], float) for z in (x, y))
+    return sum(1 / np.maximum(u / u[i], v / v[i]).sum() for i in range(len(x.keys() & y.keys())))
+
+
+def near(x, y):
+    if x == y:
+        return bool(x)
+    least = sum(min(x[i] / x.total(), y[i] / y.total()) for i in x.keys() & y.keys()) if x and y else 0
+    return least >= 0.8 - 1e-9 and similarity(x, y) >= 0.8 - 1e-9  # the common mass is never less than the similarity
 
 
 def brute_classes(rows):
@@ -29,8 +44,7 @@ def brute_classes(rows):
 
     for i in range(len(texts)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            if near(sets[i], sets[j]):
                 parent[find(i)] = find(j)
     place = {t: find(k) for k, t in enumerate(texts)}
     least = {}
@@ -86,8 +100,8 @@ def test_links_beside_unlike_pivots(make):
     bucket = neardup.signature_kernel(1, 1, 5)
 
     def held(t):
-        (got,) = bucket(iter([pa.RecordBatch.from_pydict({"node": [node(t)], "text": [t]})]))
-        return got.column(1).to_pylist()[0][0]
+        (got,) = bucket(iter([pa.RecordBatch.from_pydict({"node": [node(t)], "row": [0], "text": [t]})]))
+        return got.column(2).to_pylist()[0][0]
 
     common = words(60)
     a = " ".join(common + words(60))
@@ -103,25 +117,55 @@ def test_links_beside_unlike_pivots(make):
     assert {r["doc_id"]: r["class_id"] for r in got} == dict(brute_classes(rows)) == {0: 0, 1: 1, 2: 2, 3: 2}
 
 
-def test_repeat_counts_do_not_matter(make):
+def test_repeat_counts_weigh(make):
+    """Shingles that one text repeats often make it unlike; a changed word in a line that both repeat often does not."""
     rng = random.Random(4)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     rows = []
-    for i in range(10):
+    for i in range(6):
         single, again = words(150), words(14)
-        rows += [(2 * i, " ".join(single + again * 2)), (2 * i + 1, " ".join(single + again * 60))]
+        rows += [(4 * i, " ".join(single + again * 2)), (4 * i + 1, " ".join(single + again * 60))]
+        single, again = words(30), words(12)
+        rows += [(4 * i + 2, " ".join(single + again * 40)), (4 * i + 3, edited(rng, single + again * 40, 3))]
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(make(rows)).collect()}
-    assert got == dict(brute_classes(rows)) == {i: i // 2 * 2 for i in range(20)}
+    assert got == dict(brute_classes(rows)) == {i: i - (i % 4 == 3) for i in range(24)}
+
+
+def test_probability_jaccard_is_that_of_all_pairs():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        x, y = ({int(i): int(n) for i, n in zip(rng.choice(30, 20, replace=False), rng.integers(1, 6, 20))} for _ in range(2))
+        held = [(np.array(sorted(z), np.uint64), np.array([z[i] for i in sorted(z)], float)) for z in (x, y)]
+        assert abs(neardup.probability_jaccard(*held) - similarity(Counter(x), Counter(y))) < 1e-9
 
 
 def test_prefix_pairs_hold_all_near_pairs(spark, copies):
-    sets = [{tuple(x) for x in shingles(t)} for t in sorted(set(copies))]
+    sets = [shingles(t) for t in sorted(set(copies))]
     number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
-    rows = [(i.to_bytes(2, "big"), i.to_bytes(2, "big"), np.array(sorted(number[x] for x in s), dtype=np.uint64).tobytes()) for i, s in enumerate(sets)]
-    df = spark.createDataFrame(rows, "node binary, comp binary, shingles binary")
+    name = lambda i: i.to_bytes(2, "big")
+    packed = [sorted((number[x], n) for x, n in s.items()) for s in sets]
+    rows = [(name(i), name(i), np.array([x for x, _ in p], np.uint64).tobytes(), np.array([n for _, n in p], np.uint32).tobytes()) for i, p in enumerate(packed)]
+    df = spark.createDataFrame(rows, "node binary, comp binary, shingles binary, counts binary")
     got = {tuple(sorted(int.from_bytes(x, "big") for x in r)) for r in neardup.prefix_pairs(df, 0.8).collect()}
-    near = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert len(near) > 100 and near <= got and len(got) < 3 * len(near)
+    pairs = {(i, j) for j in range(len(sets)) for i in range(j) if near(sets[i], sets[j])}
+    assert len(pairs) > 100 and pairs <= got and len(got) < 4 * len(pairs)
+
+
+def test_one_of_each(make, spark):
+    rows = [(3, "a b c d e f g"), (2, "A b c d e f g"), (2, "A b c d e f g"), (2, "other words"), (None, "other words"), (None, None), (7, None), (7, None)]
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row long, MD5 string")
+    got = neardup.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=repr) == sorted([(2, "A b c d e f g"), (2, "other words"), (None, None), (7, None), (7, None)], key=repr)
+
+
+def test_hot_nodes_are_salted(make, copies, monkeypatch):
+    """With every key hot, the result is the same."""
+    rows = list(enumerate(copies[:140]))
+    monkeypatch.setattr(common, "HOT_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**6)
+    got = neardup.near_duplicates(make(rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == sorted(brute_classes(rows))
 
 
 def test_no_copies_and_no_rows(make):
@@ -160,57 +204,6 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
-def brute_lines(rows, least=50):
-    units, seen, out = [], set(), {}
-    for i, t in sorted(rows):
-        at = 0
-        for line in t.split("\n"):
-            w = re.sub("[A-Z]", lambda m: m[0].lower(), line)
-            w = re.findall(r"[^\x20\x09-\x0D]+", w)
-            if w:
-                units.append((i, at, at + len(line), len(w), tuple(w)))
-            at += len(line) + 1
-    runs, last = {}, None
-    for u in units:
-        again = u[4] in seen
-        seen.add(u[4])
-        if again and last is not None and last[0][0] == u[0]:
-            last.append(u)
-        else:
-            last = [u] if again else None
-            if last:
-                runs.setdefault(u[0], []).append(last)
-    for i, own in runs.items():
-        spans = [(u[1], u[2]) for run in own if sum(x[3] for x in run) >= least for u in run]
-        if spans:
-            out[i] = spans
-    return out
-
-
-def test_lines(spark, make, odd_texts):
-    rng = random.Random(9)
-    line = lambda n: " ".join(f"v{rng.randrange(500)}" for _ in range(n))
-    passages = [line(60), line(30) + "\n" + line(25), line(20), "Licence line"]
-    rows = []
-    for i in range(80):
-        parts = [line(rng.randint(1, 40)) for _ in range(rng.randint(1, 5))] + rng.sample(passages, rng.randint(0, 3))
-        rng.shuffle(parts)
-        rows.append((i, "\n".join(parts).replace("v1 ", "V1  \t")))
-    df = make(rows)
-    got = {r["doc_id"]: r for r in linededup.deduplicated(df).collect()}
-    want = brute_lines(rows)
-    assert {i: [(x["start"], x["end"]) for x in r["removed"]] for i, r in got.items() if r["removed"]} == want and len(want) > 20
-    for i, t in rows:
-        kept = "".join(c for k, c in enumerate(t) if not any(s <= k <= e for s, e in want.get(i, [])))
-        assert got[i]["kept_text"] == kept
-    odd = make(odd_texts)
-    out = linededup.deduplicated(odd).collect()
-    assert sorted(((r["doc_id"], r["kept_text"]) for r in out), key=repr) == sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=repr)
-    again = linededup.deduplicated(make([(1, passages[0]), (1, passages[0]), (2, passages[0])])).collect()
-    assert sorted((r["doc_id"], r["kept_text"]) for r in again) == [(1, passages[0]), (1, passages[0]), (2, "")]
-    assert linededup.deduplicated(make([])).count() == 0
-
-
 URLS = [
     ("http://A.Example.COM/en/x?q#f", "a.example.com", "/en/x", "example.com/en/", "block"),
     ("https://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"),
