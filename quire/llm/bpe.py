@@ -171,16 +171,16 @@ def merge_many(pieces: list[bytes], leaves: int, pairs: PairRanks) -> list[tuple
 
 
 class Pieces(dict):
-    """Piece to (ids, decimal ids joined by commas, number of ids, bytes decoded from the ids); bounded."""
+    """Piece to (ids, decimal ids joined by commas); bounded."""
 
     def __init__(self, ranks: dict[bytes, int], limit: int = CACHED_PIECES):
         self.ranks, self.limit, self.pairs = ranks, limit, PairRanks(ranks)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
 
-    def entry(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, int, bytes]:
-        return ids, ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
+    def entry(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str]:
+        return ids, ",".join(map(str, ids))
 
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str, int, bytes]:
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
         return self.entry(tuple(merge(piece.encode(), self.ranks)))
 
     def learn(self, pieces: set[str]) -> None:
@@ -252,11 +252,22 @@ class Tokenizer:
         return b"".join(map(self.pieces.bytes_of.__getitem__, ids))
 
 
-def _each(ranks, pattern: str, row):
-    """Applies row(tokenizer, text) to the second column of each batch; ranks is a broadcast of bounded size (one vocabulary)."""
+#: The tokenizer of this worker process, by its vocabulary and pattern; later tasks use it again.
+_HELD: dict[tuple[str, str], Tokenizer] = {}
+
+
+def _tokenizer(ranks, path: str, pattern: str) -> Tokenizer:
+    if (path, pattern) not in _HELD:
+        _HELD.clear()
+        _HELD[path, pattern] = Tokenizer(ranks.value, pattern)
+    return _HELD[path, pattern]
+
+
+def _each(ranks, path: str, pattern: str, row):
+    """Applies row(tokenizer, batch) to each batch; ranks is a broadcast of bounded size (one vocabulary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(ranks.value, pattern)
+        tokenizer = _tokenizer(ranks, path, pattern)
         for batch in batches:
             yield from row(tokenizer, batch)
 
@@ -287,10 +298,10 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def row(t: Tokenizer, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, a, b = [], [], []
         for own in t.entries(batch.column(1).to_pylist()):
-            _, texts, counts, raw = zip(*own) if own else ((), (), (), ())
-            n.append(sum(counts))
-            a.append(hashlib.sha256(",".join(texts).encode()).hexdigest())
-            b.append(hashlib.sha256(b"".join(raw)).hexdigest())
+            ids = list(chain.from_iterable(x[0] for x in own))
+            n.append(len(ids))
+            a.append(hashlib.sha256(",".join(x[1] for x in own).encode()).hexdigest())
+            b.append(hashlib.sha256(t.decode(ids)).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _mapped(docs, path, pattern, id_col, text_col, row, "n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -300,4 +311,4 @@ def _mapped(df: DataFrame, path: str, pattern: str, id_col: str, in_col: str, ro
     small_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(path))
     own = df.select(F.col(id_col).alias("id"), F.col(in_col).cast(kind).alias("value"))
-    return own.mapInArrow(_each(ranks, pattern, row), f"id {df.schema[id_col].dataType.simpleString()}, {schema}").withColumnRenamed("id", id_col)
+    return own.mapInArrow(_each(ranks, path, pattern, row), f"id {df.schema[id_col].dataType.simpleString()}, {schema}").withColumnRenamed("id", id_col)
