@@ -54,51 +54,70 @@ def kept_grams(words: Column, window: int, gram: int) -> Column:
     return F.when(n >= window, got).otherwise(F.array().cast("array<bigint>"))
 
 
-def _long_spots(words: Column, window: int, gram: int) -> Column:
-    """(key, place, left, words around) of each kept k-gram: around it stands all that a window with it can hold."""
-    reach = window - gram
+_SPOTS = "array<struct<key:bigint,place:int,length:int>>"
+
 
-    def spot(v: Column) -> Column:
-        place = v.bitwiseAND(F.lit(_PLACE)).cast("int")
-        left = F.least(place, F.lit(reach))
-        return F.struct(F.shiftright(v, _PLACE_BITS).alias("key"), place.alias("place"), left.alias("left"), F.lit(window).alias("length"), F.slice(words, place - left + 1, left + window).alias("around"))
+def _spot(key: Column, place: Column | int, length: int) -> Column:
+    return F.struct(key.alias("key"), (F.lit(place) if isinstance(place, int) else place).cast("int").alias("place"), F.lit(length).alias("length"))
 
-    return F.transform(kept_grams(words, window, gram), spot)
+
+def _long_spots(words: Column, window: int, gram: int) -> Column:
+    """(key, place, length) of each kept k-gram."""
+    return F.transform(kept_grams(words, window, gram), lambda v: _spot(F.shiftright(v, _PLACE_BITS), v.bitwiseAND(F.lit(_PLACE)), window))
 
 
 def _short_spots(words: Column, length: int) -> Column:
     """The spots of all runs of a given length; the key holds the length, so that lengths don't mix."""
+    n, key = F.size(words), lambda i: F.shiftright(F.xxhash64(F.slice(words, i + 1, length), F.lit(length)), _PLACE_BITS)
+    return F.when(n >= length, F.transform(F.sequence(F.lit(0), n - length), lambda i: _spot(key(i), i, length))).otherwise(F.array().cast(_SPOTS))
 
-    def spot(i: Column) -> Column:
-        run = F.slice(words, i + 1, length)
-        return F.struct(F.shiftright(F.xxhash64(run, F.lit(length)), _PLACE_BITS).alias("key"), i.alias("place"), F.lit(0).alias("left"), F.lit(length).alias("length"), run.alias("around"))
 
-    n = F.size(words)
-    return F.when(n >= length, F.transform(F.sequence(F.lit(0), n - length), spot)).otherwise(F.array().cast("array<struct<key:bigint,place:int,left:int,length:int,around:array<string>>>"))
+def _around(words: Column, place: Column, length: Column, window: int, gram: int) -> tuple[Column, Column]:
+    """(words before the spot, those words and what follows): all that a window which contains the spot can hold."""
+    left = F.when(length == window, F.least(place, F.lit(window - gram))).otherwise(F.lit(0))
+    return left, F.slice(words, F.greatest(place, F.lit(0)) - left + 1, left + length)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document row: id, n_words, n_hit, n_items, items (sorted ids) and spans (merged word ranges [start, end) that are hit)."""
+    found = _hits(docs, items, id_col, text_col, item_col, item_text_col, window, gram)
+    found = found.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", "times")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("_copy", "times")
+
+
+def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Per group of equal rows of an input partition: id, print, times, n_words, n_hit, items and spans."""
     bench = items.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     bench = bench.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("ids"))
     stats = bench.select(F.size("words").alias("n"), F.octet_length(F.array_join("words", " ")).alias("b"), F.size("ids").alias("k"))
     stats = stats.groupBy(F.when(F.col("n") < window, F.col("n")).alias("short")).agg(F.sum("b").alias("b"), F.sum(F.col("n") * (F.col("k") * 16 + 64)).alias("rows")).collect()
     short = sorted(r["short"] for r in stats if r["short"] is not None)
-    size = sum(4 * window * r["b"] + r["rows"] for r in stats)
+    small = sum(4 * window * r["b"] + r["rows"] for r in stats) <= BROADCAST_BYTES
     theirs = F.when(F.size("words") >= window, _long_spots(F.col("words"), window, gram))
     for length in short:
         theirs = theirs.when(F.size("words") == length, _short_spots(F.col("words"), length))
-    theirs = bench.select("ids", F.explode(theirs).alias("s")).select("ids", "s.key", F.col("s.left").alias("item_left"), F.col("s.length").alias("item_length"), F.col("s.around").alias("item_around"))
+    left, around = _around(F.col("words"), F.col("s.place"), F.col("s.length"), window, gram)
+    theirs = bench.select("ids", "words", F.explode(theirs).alias("s")).select("ids", "s.key", F.col("s.length").alias("item_length"), left.alias("item_left"), around.alias("item_around"))
+    # A passage that many items hold is one row with all their ids.
+    theirs = theirs.groupBy("key", "item_length", "item_left", "item_around").agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"))
 
-    mine = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"), words_of(F.col(text_col)).alias("words"))
+    mine = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"), F.spark_partition_id().alias("part"), words_of(F.col(text_col)).alias("words"))
 
     def spots(words: Column) -> Column:
-        own = F.array(F.struct((F.xxhash64("id", "print").bitwiseAND(F.lit((1 << 40) - 1)) + F.lit(1 << 40)).alias("key"), F.size(words).alias("place"), F.lit(-1).alias("left"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("around")))
+        own = F.array(F.struct((F.xxhash64("id", "print").bitwiseAND(F.lit((1 << 40) - 1)) + F.lit(1 << 40)).alias("key"), F.lit(-1).alias("place"), F.size(words).alias("length")))
         return F.concat(own, _long_spots(words, window, gram), *[_short_spots(words, n) for n in short])
 
     # Each row has a spot of its own that meets nothing and holds the number of words: so one pass gives both counts and hits.
-    mine = mine.select("id", "print", F.explode(let(F.col("words"), spots)).alias("s")).select("id", "print", "s.*")
-    met = mine.join(F.broadcast(theirs) if size <= BROADCAST_BYTES else theirs, "key", "left").where((F.col("left") < 0) | (F.col("item_length") == F.col("length")))
+    # With the benchmark broadcast, the words around a spot are cut out after the join, for the few spots that meet one.
+    left, around = _around(F.col("words"), F.col("place"), F.col("length"), window, gram)
+    mine = mine.select("id", "print", "part", "words", F.explode(spots(F.col("words"))).alias("s")).select("id", "print", "part", "words", "s.*")
+    if small:
+        met = mine.join(F.broadcast(theirs), "key", "left")
+    else:
+        met = mine.withColumns({"left": left, "around": around}).drop("words").join(theirs, "key", "left")
+    met = met.where((F.col("place") < 0) | (F.col("item_length") == F.col("length")))
+    if small:
+        met = met.withColumns({"left": left, "around": around}).drop("words")
 
     def equal_at(s: Column) -> Column:
         a = F.slice("around", F.greatest(F.col("left") - s, F.lit(0)) + 1, F.col("length"))
@@ -106,11 +125,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return (s <= F.col("left")) & (s <= F.col("item_left")) & (F.size(a) == F.col("length")) & (a == b)
 
     steps = F.when(F.col("length") == window, F.sequence(F.lit(0), F.lit(window - gram))).otherwise(F.array(F.lit(0)))
-    starts = F.when(F.col("left") < 0, F.array(F.lit(-1))).otherwise(F.transform(F.filter(steps, equal_at), lambda s: F.col("place") - s))
-    hits = met.select("id", "print", "place", "length", "ids", F.explode(starts).alias("start"))
+    starts = F.when(F.col("place") < 0, F.array(F.lit(-1))).otherwise(F.transform(F.filter(steps, equal_at), lambda s: F.col("place") - s))
+    hits = met.select("id", "print", "part", "length", "ids", F.explode(starts).alias("start"))
     own = F.col("start") < 0
-    per = hits.groupBy("id", "print").agg(
-        F.max(F.when(own, F.col("place"))).cast("long").alias("n_words"),
+    per = hits.groupBy("id", "print", "part").agg(
+        F.max(F.when(own, F.col("length"))).cast("long").alias("n_words"),
         F.count(F.when(own, F.lit(1))).alias("times"),
         F.array_sort(F.collect_set(F.when(~own, F.struct("start", (F.col("start") + F.col("length")).alias("end"))))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(~own, F.col("ids")))))).alias("items"),
@@ -122,12 +141,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]), joined).otherwise(F.concat(acc, F.array(x)))
 
     spans = F.aggregate("runs", F.array().cast("array<struct<start:int,end:int>>"), widen)
-    per = per.withColumn("spans", spans).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))
-    per = per.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", "times")
-    return per.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("_copy", "times")
+    return per.withColumn("spans", spans).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of the benchmark occurs. Rows of equal id are judged together."""
-    bad = contamination(docs, items, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs. Rows of equal id are judged each by its text."""
+    bad = _hits(docs, items, id_col, text_col).where("n_hit > 0").select(F.col("id").alias("_bad"), F.col("print").alias("_bad_print")).distinct()
+    same = docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["_bad_print"])
+    return docs.join(bad, same, "left_anti")
