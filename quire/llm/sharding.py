@@ -67,17 +67,17 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", shards: int
 def layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """Per row: id, size, text_crc32, shard, slot (its number within the shard) and grown_shard (with one shard more).
 
-    Rows alike in all of this are counted first and numbered together. A shard's rows are dealt into blocks by hash; the
+    Rows alike in all of this are counted first, for each input partition, and numbered together. A shard's rows are dealt into blocks by hash; the
     blocks' counts (at most shards * BLOCKS rows) give each block its first slot, and each block is numbered on its own.
     """
     small_batches(docs.sparkSession)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("crc"))
-    alike = rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n"))
+    alike = rows.withColumn("part", F.spark_partition_id()).groupBy("id", "size", "crc", "part").agg(F.count("*").alias("n"))
     key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
     alike = alike.withColumn("key", key).withColumn("shard", shard_of(F.col("key"), shards)).withColumn("grown", shard_of(F.col("key"), shards + 1))
-    alike = alike.withColumn("block", F.pmod(F.xxhash64("id", "size", "crc"), F.lit(BLOCKS)).cast("int"))
-    in_block = Window.partitionBy("shard", "block").orderBy("id", "size", "crc")
+    alike = alike.withColumn("block", F.pmod(F.xxhash64("id", "size", "crc", "part"), F.lit(BLOCKS)).cast("int"))
+    in_block = Window.partitionBy("shard", "block").orderBy("id", "size", "crc", "part")
     placed = alike.withColumn("first", F.sum("n").over(in_block) - F.col("n"))
     counts = alike.groupBy("shard", "block").agg(F.sum("n").alias("rows"))
     counts = counts.withColumn("before", F.sum("rows").over(Window.partitionBy("shard").orderBy("block")) - F.col("rows")).drop("rows")
