@@ -11,6 +11,7 @@ still looks at what there is (nothing for null), and allows it unless terms say
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -57,8 +58,9 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return out
 
 
-def term_counts(strict: Sequence[str], soft: Sequence[str]):
-    """A function from a url to (occurrences of strict terms, different soft terms)."""
+@lru_cache(maxsize=4)
+def term_counts(strict: tuple[str, ...], soft: tuple[str, ...]):
+    """A function from a url to (occurrences of strict terms, different soft terms); a worker builds the automaton once."""
     automaton = ahocorasick.Automaton()
     for kind, terms in (("soft", soft), ("strict", strict)):
         for term in terms:
@@ -88,7 +90,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     @F.pandas_udf("n_strict long, n_soft long")
     def terms(urls: pd.Series) -> pd.DataFrame:
-        count = term_counts(strict, soft)
+        count = term_counts(tuple(strict), tuple(soft))
         return pd.DataFrame([count(u) if u else (0, 0) for u in urls], columns=["n_strict", "n_soft"])
 
     url = F.col("url")
