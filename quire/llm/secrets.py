@@ -4,9 +4,10 @@ Base spans, leftmost and without overlap for each kind: `assign` (a key word, a
 more; the span is the whole match), `access` (AKIA and capitals or digits, 20 characters or more) and `hex` (24 or more
 of 0-9a-f). The values found in all documents, a bounded number by hash, are labelled credentials: for each kind a prefix tree of
 their character classes is built, its states are merged where their frequencies are statistically compatible, and the
-result is a probabilistic automaton. Every other run of 16 or more of `[A-Za-z0-9+/_.=-]` with a letter and a digit is
-then a candidate; it becomes a span of kind `format` if its likelihood per character under some automaton is at least
-what nearly all labelled values reach, and above its likelihood as ordinary text. Base spans always stay.
+result is a probabilistic automaton. What the base spans leave of the text is then cut into runs of
+`[A-Za-z0-9+/_.=-]`; every run of LEAST characters or more is a candidate, and so is, where the run is none, each of its parts
+between `=`, `/` and `.`. A candidate becomes a span of kind `format` if its likelihood per character under some automaton is at
+least what nearly all labelled values reach, and above its likelihood as ordinary text. Base spans always stay.
 
 Defined cases: null is as empty and has no spans; offsets are code points, the end exclusive; rows are judged one by
 one; without any credential there is no automaton and no `format` span.
@@ -20,6 +21,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,13 +34,13 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Rows of the sample in which ordinary words are looked for, and values of each kind, of all rows, that are learned from.
-SAMPLE_ROWS = 20_000
-SAMPLE_VALUES = 300
-#: Ordinary words that the credentials are compared with.
-ORDINARY_VALUES = 3000
-#: Longest value that is learned from; longer ones are still found and scored.
-VALUE_LENGTH = 128
+ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
+LEAST = 16
+#: Values of each kind, of all rows, that are learned from, by hash; and ordinary words, of the rows without any, that they are compared with.
+SAMPLE_VALUES, ORDINARY_VALUES = 300, 3000
+#: Rows of the sample in which ordinary words are looked for, and words of each, from anywhere in it, by hash.
+SAMPLE_ROWS, ROW_WORDS = 20_000, 3
 #: Confidence of ALERGIA's test that two states differ.
 ALPHA = 0.05
 #: Share of the labelled values that may score below the limit of their automaton.
@@ -194,45 +196,59 @@ def all_spans(text: str, grammar: Grammar | None) -> list[tuple[int, int, int]]:
     if grammar is None or not grammar.automata:
         return base
     out, at = list(base), 0
-    ends = sorted((s, e) for s, _, e in base)
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        while at < len(ends) and ends[at][1] <= s:
-            at += 1
-        if any(a < e and s < b for a, b in ends[at : at + 3]):
-            continue
-        value = m[0].strip("./=-_+")
-        if len(value) >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and grammar.is_credential(value):
-            begin = s + m[0].index(value)
-            out.append((begin, 3, begin + len(value)))
+    edges = sorted((s, e) for s, _, e in base)
+    for s, e in [*edges, (len(text), len(text))]:
+        if s > at:
+            out += [(b, 3, e_) for b, e_ in formats(text, at, s, grammar)]
+        at = max(at, e)
     return sorted(out)
 
 
+def formats(text: str, start: int, end: int, grammar: Grammar) -> list[tuple[int, int]]:
+    """The candidates of text[start:end] that are credentials."""
+
+    def held(m: re.Match) -> tuple[int, int] | None:
+        value = m[0].strip("./=-_+")
+        begin = m.start() + m[0].index(value) if value else 0
+        return (begin, begin + len(value)) if len(value) >= LEAST and grammar.is_credential(value) else None
+
+    out = []
+    for m in CANDIDATE.finditer(text, start, end):
+        whole = held(m)
+        out += [whole] if whole else [x for x in map(held, PART.finditer(text, *m.span())) if x and x != m.span()]
+    return out
+
+
 def named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Grammar:
-    """Learns from at most SAMPLE_VALUES values of each kind in all rows, and ordinary words of about sample_rows rows; both chosen by a hash of the id."""
+    """Learns from at most SAMPLE_VALUES values of each kind in all rows, and ordinary words of about sample_rows rows; both chosen by a hash.
+
+    Values are ranked in blocks of hashes before the few that are left are ranked by kind.
+    """
     small_batches(docs.sparkSession)
     n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, text, drawn in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, drawn in zip(*(c.to_pylist() for c in batch.columns)):
                 found = labelled_values(text)
-                out += [(k, v, i) for k, v in found if len(v) <= VALUE_LENGTH]
-                out += [("", w, i) for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,}", text)[:3]] if drawn and not found else []
-            yield pa.RecordBatch.from_pydict({"kind": [x[0] for x in out], "value": [x[1][:VALUE_LENGTH] for x in out], "h": [x[2] for x in out]}, pa.schema([("kind", pa.string()), ("value", pa.string()), ("h", pa.int64())]))
+                if drawn and not found:
+                    found = [("", w) for w in sorted(set(ORDINARY.findall(text)), key=lambda w: (crc32(w.encode()), w))[:ROW_WORDS]]
+                out += found
+            yield pa.RecordBatch.from_pydict({"kind": [x[0] for x in out], "value": [x[1] for x in out]}, pa.schema([("kind", pa.string()), ("value", pa.string())]))
 
     h = F.xxhash64(F.col(id_col).cast("string"))
     drawn = h.cast("double") / F.lit(2.0**64) + 0.5 <= F.lit(min(1.0, sample_rows / max(1, n)))
-    rows = docs.select(h.alias("h"), F.col(text_col).cast("string").alias("text"), drawn.alias("drawn")).where(F.col("text").isNotNull())
-    found = rows.mapInArrow(run, "kind string, value string, h long").groupBy("kind", "value").agg(F.min("h").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
-    found = found.withColumn("rank", rank).where(F.col("rank") <= ORDINARY_VALUES)  # a fixed rank limits each task's share before the shuffle
-    found = found.where((F.col("kind") == "") | (F.col("rank") <= SAMPLE_VALUES))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), drawn.alias("drawn")).where(F.col("text").isNotNull())
+    found = rows.mapInArrow(run, "kind string, value string").distinct().withColumn("h", F.xxhash64("value"))
+    wanted = F.when(F.col("kind") == "", ORDINARY_VALUES).otherwise(SAMPLE_VALUES)
+    for block in (F.pmod("h", F.lit(64)), F.lit(0)):
+        rank = F.row_number().over(Window.partitionBy("kind", block).orderBy("h", "value"))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= wanted)
     values: dict[str, list[str]] = {}
     for r in found.orderBy("kind", "rank").collect():
         values.setdefault(r["kind"], []).append(r["value"])
