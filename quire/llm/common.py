@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; with texts of a few hundred kilobytes a batch stays within some hundred megabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; a row that is longer stands alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 #: Bytes of text that the numpy kernels hold at once (they need some 40 times that in arrays).
 CHUNK_BYTES = 1 << 20
 
 #: Keys that may count as hot, the least rows of one that does, and the parts into which its rows are dealt.
 HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 32
+#: Blocks in which the rows of a label are ranked for a sample.
+SAMPLE_BLOCKS = 25
 
 #: The separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -39,16 +43,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of them at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        out = []
-        for base in (_BASE, _UNBASE):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
+    """Powers of the base and of its inverse modulo 2**64, n of them at least. Those for usual chunks are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS
+    out = []
+    for base in (_BASE, _UNBASE):
+        p = np.full(max(n, 2 * CHUNK_BYTES), base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    if n <= 2 * CHUNK_BYTES:
         _POWERS[:] = out
-    return _POWERS
+    return out
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
@@ -92,7 +97,8 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tupl
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the batches that Python workers get within BATCH_ROWS rows."""
+    """Keeps the batches that Python workers get within BATCH_ROWS rows and BATCH_BYTES bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -104,9 +110,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored writes within this block are deleted at its end, but for those it is told to keep."""
+    made: list[str] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """The rows of df, written to the shared folder and read again: cuts the lineage, and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/table"
+    folder, made = shared_folder(df.sparkSession), _SCRATCH.get()
+    if made is not None and not keep:
+        made.append(folder)
+    path = f"{folder}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -138,18 +164,19 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, by:
     return spread.join(small.join(marked, key, "left").withColumn("_salt", F.explode(times)).drop("_salts"), [key, "_salt"]).drop("_salt")
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
-    """At most per_label rows of every label, those whose key hashes lowest: a bounded, repeatable sample for fitting a model.
+def bounded_sample(df: DataFrame, label: str, per_label: int) -> DataFrame:
+    """At most about per_label rows of every label, by a hash of the whole row: a bounded, repeatable sample for fitting a model.
 
-    A pass over (label) counts the rows, so that the second pass ranks only about twice the rows that are asked for.
+    Labels are few (a model has an output for each). A pass over (label) counts the rows, so that the second pass ranks
+    little more than what is asked for, in SAMPLE_BLOCKS blocks of hashes for each label.
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if not counts:
         return df.limit(0)
-    h = F.xxhash64(F.col(key).cast("string"))
     share = F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, (2.0 * per_label + 100) / n))).otherwise(share)
-    thin = df.withColumn("_h", h).where((F.col("_h").cast("double") / F.lit(2.0**64) + 0.5) <= share)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
-    return thin.withColumn("_rank", rank).where(F.col("_rank") <= per_label).drop("_rank", "_h")
+        share = F.when(F.col(label) == F.lit(value), F.lit(1.0 if n <= per_label else (1.3 * per_label + 100) / n)).otherwise(share)
+    thin = df.withColumns({"_h": F.xxhash64(*df.columns), "_share": share}).where((F.col("_h").cast("double") / F.lit(2.0**64) + 0.5) <= F.col("_share"))
+    block = Window.partitionBy(label, F.pmod("_h", F.lit(SAMPLE_BLOCKS))).orderBy("_h")
+    ranked = thin.withColumn("_rank", F.row_number().over(block))
+    return ranked.where((F.col("_share") >= 1) | (F.col("_rank") <= -(-per_label // SAMPLE_BLOCKS))).drop("_rank", "_h", "_share")

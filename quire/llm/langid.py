@@ -27,9 +27,8 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 VECTOR = 8
-#: Rows of each language on which the network is trained, and characters of each that are used (from its middle).
+#: Rows of each language on which the network is trained, by windows from anywhere in their texts.
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 600
 STEPS, BATCH, RATE = 900, 64, 4e-3
 UNKNOWN = "und"
 
@@ -41,6 +40,8 @@ class Network:
     bias: list[np.ndarray]
     dense: np.ndarray
     dense_bias: np.ndarray
+    vectors: np.ndarray  # of the bytes; with the filters, what the tables are made of
+    filters: list[np.ndarray]
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
         """Of windows (n x WINDOW, bytes)."""
@@ -65,27 +66,29 @@ class Network:
 
 def windows_of(buf: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of all texts, the text number of each and its bytes that are not fill. An empty text has none."""
-    lengths = np.diff(offsets)
-    count = -(-lengths // width)
-    doc = np.repeat(np.arange(len(lengths)), count)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    start = offsets[doc] + place * width
+    count = -(-np.diff(offsets) // width)
+    doc = np.repeat(np.arange(len(count)), count)
+    start = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * width
     own = np.minimum(width, offsets[doc + 1] - start)
-    padded = np.concatenate([LOWER[buf], np.zeros(width, dtype=np.uint8)])
+    return gathered(np.concatenate([LOWER[buf], np.zeros(width, dtype=np.uint8)]), start, own, width), doc, own
+
+
+def gathered(padded: np.ndarray, start: np.ndarray, own: np.ndarray, width: int) -> np.ndarray:
+    """The windows that begin at start, filled with zeros from own on; padded reaches a window's width beyond the texts."""
     out = padded[start[:, None] + np.arange(width)]
     out[np.arange(width)[None, :] >= own[:, None]] = 0
-    return out, doc, own
+    return out
 
 
 def train(texts: list[str], labels: list[str], seed: int = 5) -> Network:
-    """Fits the network by Adam on windows of the texts; each step draws languages evenly."""
+    """Fits the network by Adam on windows of the texts; each step draws languages evenly, then texts, then their windows."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     raw = [t.encode() for t in texts]
     offsets = np.cumsum([0, *map(len, raw)])
-    x, doc, _ = windows_of(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
-    y = np.array([names.index(v) for v in labels])[doc]
-    by_label = [np.flatnonzero(y == k) for k in range(len(names))]
+    padded = np.concatenate([LOWER[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.zeros(WINDOW, dtype=np.uint8)])
+    y, count = np.array([names.index(v) for v in labels]), -(-np.diff(offsets) // WINDOW)
+    by_label = [np.flatnonzero((y == k) & (count > 0)) for k in range(len(names))]
     by_label = [v for v in by_label if len(v)]
     p = {"E": rng.normal(0, 0.3, (256, VECTOR))}
     p["E"][0] = 0
@@ -99,7 +102,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Network:
     v2 = {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, STEPS + 1 if by_label else 1):
         pick = np.array([by_label[k][rng.integers(len(by_label[k]))] for k in rng.integers(len(by_label), size=BATCH)])
-        xb, yb = x[pick], y[pick]
+        start = offsets[pick] + rng.integers(count[pick]) * WINDOW
+        xb, yb = gathered(padded, start, np.minimum(WINDOW, offsets[pick + 1] - start), WINDOW), y[pick]
         e = p["E"][xb]
         pooled, where = [], []
         for w in WIDTHS:
@@ -134,15 +138,14 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Network:
     one = {w: [p["E"] @ p[f"W{w}"][j * VECTOR : (j + 1) * VECTOR] for j in range(w)] for w in WIDTHS}
     pair = lambda a, b: (a[:, None] + b[None]).reshape(65536, FILTERS).astype(np.float32)
     tables = [(pair(one[2][0], one[2][1]), None), (pair(one[3][0], one[3][1]), one[3][2].astype(np.float32)), (pair(one[4][0], one[4][1]), pair(one[4][2], one[4][3]))]
-    return Network(names, tables, [p[f"b{w}"] for w in WIDTHS], p["D"], p["c"])
+    return Network(names, tables, [p[f"b{w}"] for w in WIDTHS], p["D"], p["c"], p["E"], [p[f"W{w}"] for w in WIDTHS])
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """A network trained on at most sample_rows rows of each language whose id is not held out (fold_of is not 0); null languages don't count."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"))
     rows = rows.where((fold_of(F.col("id")) != 0) & F.col("label").isNotNull())
-    middle = F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
-    got = bounded_sample(rows.select("id", "label", F.substring("text", middle, F.lit(SAMPLE_CHARS)).alias("text")), "label", "id", sample_rows).where(F.col("text").rlike(r"\p{L}")).orderBy("label", "id", "text").toPandas()
+    got = bounded_sample(rows.select("id", "label", "text"), "label", sample_rows).where(F.col("text").rlike(r"\p{L}")).orderBy("label", "id", "text").toPandas()
     return train(got["text"].tolist(), got["label"].tolist()) if len(got) else None
 
 

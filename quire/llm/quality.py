@@ -26,9 +26,8 @@ from quire.llm.common import small_batches
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
 SPACES = b" \t\n\x0b\x0c\r"
-#: Rows of the sample on which costs and rejections are estimated, and bytes of the longest texts in it.
+#: Rows of the sample on which costs and rejections are estimated.
 SAMPLE_ROWS = 1000
-SAMPLE_BYTES = 100_000
 
 
 class Measures:
@@ -125,8 +124,9 @@ def first_rejection(m: Measures, rules: tuple[Rule, ...]) -> str | None:
 
 
 def ordered_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second on at most sample_rows rows with texts up to SAMPLE_BYTES, taken from the first partitions that have them, so that only these are read."""
-    sample = docs.select(F.col(text_col).cast("string").alias("text")).where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES).limit(sample_rows).collect()
+    """The rules by rejections per second on about sample_rows rows, drawn evenly from all. The order decides only the cost."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.select(F.col(text_col).cast("string").alias("text")).sample(share, seed=11).collect()
     rate = {}
     for r in rules:
         hits, began = 0, time.perf_counter()

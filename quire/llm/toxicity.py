@@ -3,7 +3,7 @@
 The features of a text are the n-grams of its bytes (A-Z lower-cased) for each n of SIZES, hashed into 2**BITS places;
 a feature counts once per text. Each is scaled by the logarithm of its smoothed share among toxic over that among other
 training texts; a logistic regression on the scaled features gives the weights. Features without evidence (few texts,
-or a chi-square below MIN_CHI2) have weight 0, so that long texts don't gather noise.
+or a chi-square below MIN_CHI2 or CHI2_SHARE of the labels) have weight 0, so that long texts don't gather noise.
 
 Defined cases: a null text is as empty and gets the score of no features; with no labels of both kinds every score
 is 0; a document with contradicting labels counts as toxic; labels without a document are ignored.
@@ -23,11 +23,11 @@ from quire.llm.common import LOWER, bounded_sample, fold_of, powers, prefix_hash
 
 SIZES = (4, 5, 6)
 BITS = 20
-#: Labelled rows of each kind on which the classifier is fitted; of these, texts up to SAMPLE_BYTES.
+#: Labelled rows of each kind on which the classifier is fitted, by their whole texts.
 SAMPLE_ROWS = 2500
-SAMPLE_BYTES = 8000
 MIN_TEXTS = 4
-MIN_CHI2 = 30.0
+#: Least chi-square of a feature; with few labels, this share of their number (chi-square is at most that number).
+MIN_CHI2, CHI2_SHARE = 30.0, 0.25
 SMOOTHING = 1.0
 PENALTY = 0.02
 STEPS = 150
@@ -85,13 +85,12 @@ def train(texts: list[str], toxic: list[int]) -> Classifier | None:
     counts = np.zeros((2, 1 << BITS))
     everything = np.ones(1 << BITS, dtype=bool)
 
-    def each(wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for at in range(0, len(raw), 64):
-            part = raw[at : at + 64]
-            doc, place = hit_features(np.frombuffer(b"".join(part), dtype=np.uint8), np.cumsum([0, *map(len, part)]), wanted)
-            yield at, doc + at, place
+    def each(wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for first, _, buf, offsets in text_chunks(pa.array(raw, pa.large_binary()).cast(pa.large_string())):
+            doc, place = hit_features(buf, offsets, wanted)
+            yield doc + first, place
 
-    for _, doc, place in each(everything):
+    for doc, place in each(everything):
         for k in (0, 1):
             counts[k] += np.bincount(place[y[doc] == k], minlength=1 << BITS)
     n = np.array([len(y) - y.sum(), y.sum()])
@@ -101,8 +100,8 @@ def train(texts: list[str], toxic: list[int]) -> Classifier | None:
     expected = total * n[1] / n.sum()
     spread = expected * (n[0] / n.sum()) * (1 - np.minimum(total / n.sum(), 0.999))
     chi2 = (counts[1] - expected) ** 2 / np.maximum(spread, 1e-9)
-    chosen = (total >= MIN_TEXTS) & (chi2 >= MIN_CHI2)
-    parts = [(doc, place) for _, doc, place in each(chosen)]
+    chosen = (total >= MIN_TEXTS) & (chi2 >= min(MIN_CHI2, CHI2_SHARE * n.sum()))
+    parts = list(each(chosen))
     doc, place = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     columns = np.flatnonzero(chosen)
     if not len(columns):
@@ -131,8 +130,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where((fold_of(F.col("id")) != 0) & F.col("label").isin(0, 1))
     marks = marks.groupBy("id").agg(F.max("label").alias("label"))
-    chosen = bounded_sample(marks, "label", "id", sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    chosen = bounded_sample(marks, "label", sample_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     got = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("id")
     return train(got["text"].tolist(), got["label"].tolist())
 
