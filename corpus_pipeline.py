@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontam, neardup, secrets, toxicity
 from quire.llm.common import stored
@@ -17,10 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the least id; of rows of equal id and text, one."""
-    gone = neardup.near_duplicates(docs).where("NOT keep").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"))
-    same = docs["doc_id"].eqNullSafe(gone["_id"]) & F.md5(docs["text"].cast("binary")).eqNullSafe(gone["_md5"])
-    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One document of each class of near-duplicates: the one with the least id; of rows of equal id and text, one. Null texts stay."""
+    return neardup.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
