@@ -39,10 +39,10 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> int:
     a = Analysis.of_paths(spark, args.file, limits=Limits(args.max_member_bytes, args.max_total_bytes))
     failed = a.errors.first()
     if failed is not None:
-        _say(f"error: {args.file} is not a recognised container: {failed['error']}. Run `inspect` on it for the detail.")
+        _say(f"error: {args.file}: {failed['error']} (`inspect` shows what was tried)")
         return 1
     if args.include_attribution and args.format != "json":
-        _say("note: --include-attribution affects the json format only; markdown and text never carry attribution")
+        _say(f"note: {args.format} output holds no personal data, so --include-attribution changes nothing here")
     rendered = outputs.json_documents(a, args.include_attribution) if args.format == "json" else a.rendered(args.format)
     text = rendered.first()["rendered"]
     for w in outputs.diagnostics(a).orderBy("stage", "ordinal").collect():
@@ -53,7 +53,7 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> int:
         try:
             Path(args.output).write_text(text, encoding="utf-8")
         except OSError as e:
-            _say(f"error: writing {args.output}: {e}")
+            _say(f"error: no output to {args.output}: {e}")
             return 1
     else:
         sys.stdout.write(text)
@@ -70,7 +70,7 @@ def inspect(spark: SparkSession, args: argparse.Namespace) -> int:
         for row in outputs.dump(a).toLocalIterator():
             (folder / row["name"]).write_bytes(row["content"])
             n += 1
-        _say(f"wrote {n} file(s) to {folder}")
+        _say(f"{n} payload file(s) are in {folder}")
     text = outputs.reports(a, args.format, args.verbose).first()["rendered"]
     sys.stdout.write(text if args.format == "text" else text + "\n")
     return 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -35,6 +36,13 @@ def match_object(data: bytes, start: int, budget: int) -> int | None:
     return None
 
 
+def _object(data: bytes, span: tuple[int, int]) -> dict[str, Any] | None:
+    try:
+        return strictjson.loads(data[slice(*span)])
+    except ValueError:
+        return None
+
+
 class Fragments:
     """The nearest enclosing object that parses, for each anchor in turn."""
 
@@ -52,32 +60,33 @@ class Fragments:
                 return
             yield at
 
-    def _around(self, data: bytes, hit: int) -> tuple[int, int, dict] | None:
-        for start in self._openers(data, hit):
-            end = match_object(data, start, self.limits.object_bytes)
-            if end is None or end <= hit:
-                continue
-            try:
-                return start, end, strictjson.loads(data[start:end])
-            except ValueError:
-                continue
-        return None
+    def _spans(self, data: bytes, hit: int) -> Iterator[tuple[int, int]]:
+        """The balanced spans that hold hit, innermost first."""
+        ends = ((start, match_object(data, start, self.limits.object_bytes)) for start in self._openers(data, hit))
+        return ((start, end) for start, end in ends if end is not None and end > hit)
+
+    def _hits(self, data: bytes) -> Iterator[tuple[str, int]]:
+        return ((anchor, m.start()) for anchor in self.anchors for m in re.finditer(re.escape(anchor.encode()), data))
 
     def discover(self, data: bytes) -> list[Payload]:
-        """Payloads by place. When the limit on their number is met, those found so far in order of discovery."""
-        found: dict[tuple[int, int], Payload] = {}
-        starts: set[int] = set()
-        for anchor in self.anchors:
-            for m in re.finditer(re.escape(anchor.encode()), data):
-                if len(found) >= self.limits.payloads:
-                    return list(found.values())
-                if next(self._openers(data, m.start()), None) in starts:
-                    continue
-                got = self._around(data, m.start())
-                if got is not None and got[:2] not in found:
-                    starts.add(got[0])
-                    found[got[:2]] = Payload(got[0], got[1], anchor, got[2])
-        return [found[k] for k in sorted(found)]
+        """Payloads by place. When the limit on their number is met, those found so far in order of discovery.
+
+        A span is parsed once however many anchors it holds, and an anchor whose nearest brace opens a payload needs no search.
+        """
+        parsed: dict[tuple[int, int], dict | None] = {}
+        found: dict[int, Payload] = {}  # by start: of a start, the budget and the bytes give one end
+        for anchor, hit in self._hits(data):
+            if len(found) >= self.limits.payloads:
+                return list(found.values())
+            if next(self._openers(data, hit), None) in found:
+                continue
+            for span in self._spans(data, hit):
+                if span not in parsed:
+                    parsed[span] = _object(data, span)
+                if parsed[span] is not None:
+                    found.setdefault(span[0], Payload(*span, anchor, parsed[span]))
+                    break
+        return [found[start] for start in sorted(found)]
 
 
 class EnvelopeBlobs:

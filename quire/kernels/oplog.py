@@ -70,73 +70,95 @@ class Replayed:
     warnings: list[str] = field(default_factory=list)
 
 
-class _Line:
-    """A list of segments in which a boundary can be made at any UTF-16 position."""
+class Rope:
+    """Segments in blocks of at most 2 * BLOCK, each with its UTF-16 length, so that an edit looks at block lengths and at one or two blocks."""
+
+    BLOCK = 256
 
     def __init__(self, segments: Iterable[dict[str, Any]]):
-        self.parts = list(segments)
-        self.sizes = [utf16_length(s) for s in self.parts]
-
-    def boundary(self, position: int) -> int | None:
-        """The number of the first segment that starts at the position, after a split if need be; None if there can be none."""
-        at = 0
-        for k, size in enumerate(self.sizes):
-            if at == position:
-                return k
-            if position < at + size:
-                whole = self.parts[k]
-                if whole["kind"] != "text":
-                    return None
-                units = whole["text"].encode("utf-16-le")
-                cut = 2 * (position - at)
-                if 0xDC <= units[cut + 1] < 0xE0:  # the second half of a pair
-                    return None
-                halves = [units[:cut].decode("utf-16-le"), units[cut:].decode("utf-16-le")]
-                self.parts[k : k + 1] = [whole | {"text": t} for t in halves]
-                self.sizes[k : k + 1] = [cut // 2, size - cut // 2]
-                return k + 1
-            at += size
-        return len(self.parts) if at == position else None
-
-    def put(self, k: int, new: list[dict[str, Any]]) -> None:
-        self.parts[k:k] = new
-        self.sizes[k:k] = [utf16_length(s) for s in new]
-
-    def cut(self, start: int, end: int) -> bool:
-        """Removes [start, end). A failed cut may leave a boundary behind."""
-        if end <= start or self.boundary(end) is None:
-            return False
-        first = self.boundary(start)
-        if first is None:
-            return False
-        last, at = len(self.parts), 0
-        for k, size in enumerate(self.sizes):
-            if at == end:
-                last = k
-                break
-            at += size
-        if first > last:
+        self.blocks: list[list[tuple[int, dict[str, Any]]]] = [[]]
+        self.lengths = [0]
+        self.insert((0, 0), segments)
+
+    def find(self, position: int) -> tuple[tuple[int, int], int] | None:
+        """((block, place), units) of the first segment that begins at the position, or that holds it units after its beginning; None beyond the end."""
+        for b, length in enumerate(self.lengths):
+            if position <= length:
+                for i, (size, _) in enumerate(self.blocks[b]):
+                    if not position or position < size:
+                        return (b, i), position
+                    position -= size
+                if not position:
+                    return (b, len(self.blocks[b])), 0
+            else:
+                position -= length
+        return None
+
+    def edge(self, position: int) -> tuple[int, int] | None:
+        """The place at the position, a text being cut in two if it lies within; None beyond the end, within another kind of segment or within a character."""
+        found = self.find(position)
+        if found is None or not found[1]:
+            return found and found[0]
+        (b, i), units = found
+        size, whole = self.blocks[b][i]
+        text = whole.get("text") if whole["kind"] == "text" else None
+        if text is None:
+            return None
+        head = text.encode("utf-16-le")[: 2 * units].decode("utf-16-le", "ignore")  # half a character is left out
+        if utf16_length({"kind": "text", "text": head}) != units:
+            return None
+        self.blocks[b][i : i + 1] = [(units, whole | {"text": head}), (size - units, whole | {"text": text[len(head) :]})]
+        return b, i + 1
+
+    def insert(self, place: tuple[int, int], segments: Iterable[dict[str, Any]]) -> None:
+        b, i = place
+        new = [(utf16_length(s), s) for s in segments]
+        self.blocks[b][i:i] = new
+        whole = self.blocks[b]
+        if len(whole) > 2 * self.BLOCK:
+            self.blocks[b : b + 1] = [whole[k : k + self.BLOCK] for k in range(0, len(whole), self.BLOCK)]
+            self.lengths[b : b + 1] = [sum(size for size, _ in block) for block in self.blocks[b : b + -(-len(whole) // self.BLOCK)]]
+        else:
+            self.lengths[b] += sum(size for size, _ in new)
+
+    def remove(self, start: int, end: int) -> bool:
+        """Removes [start, end), if there are edges at both; the one at the end may be made and stay even where the other can't be."""
+        if end <= start or self.edge(end) is None or self.edge(start) is None:
             return False
-        del self.parts[first:last], self.sizes[first:last]
+        (b, i), (c, j) = self.find(start)[0], self.find(end)[0]
+        left = self.blocks[b][:i] + self.blocks[c][j:]
+        self.blocks[b : c + 1] = [left]
+        self.lengths[b : c + 1] = [sum(size for size, _ in left)]
         return True
 
+    def end(self) -> tuple[int, int]:
+        return len(self.blocks) - 1, len(self.blocks[-1])
+
+    def segments(self) -> list[dict[str, Any]]:
+        return [s for block in self.blocks for _, s in block]
+
+
+def _insert(rope: Rope, op: dict[str, Any]) -> str | None:
+    place = rope.edge(op["pos1"])
+    rope.insert(rope.end() if place is None else place, op["segments"])
+    return None if place is not None else f"insert at {op['pos1']}: no such position in the text so far, so it went to the end"
+
+
+def _remove(rope: Rope, op: dict[str, Any]) -> str | None:
+    return None if rope.remove(op["pos1"], op["pos2"]) else f"remove of {op['pos1']} to {op['pos2']}: no such range in the text so far"
+
+
+#: What each kind of operation does to the rope; it gives the reason if it could not be done as asked. Other kinds are skipped.
+_EFFECTS = {"insert": _insert, "remove": _remove}
+
 
 def replay(base: Iterable[dict[str, Any]], ops: Iterable[dict[str, Any]]) -> Replayed:
     """Applies inserts and removes in order. An insert past the end is appended and counts as skipped; annotations are skipped."""
-    line, out = _Line(base), Replayed([])
+    rope, count, reasons = Rope(base), {True: 0, False: 0}, []
     for op in ops:
-        done = False
-        if op["kind"] == "insert":
-            k = line.boundary(op["pos1"])
-            line.put(len(line.parts) if k is None else k, list(op["segments"]))
-            done = k is not None
-            if not done:
-                out.warnings.append(f"an insert at position {op['pos1']} is past the end of the reconstructed text; it was appended instead")
-        elif op["kind"] == "remove":
-            done = line.cut(op["pos1"], op["pos2"])
-            if not done:
-                out.warnings.append(f"a remove of [{op['pos1']}, {op['pos2']}) does not fit the reconstructed text")
-        out.applied += done
-        out.skipped += not done
-    out.segments = line.parts
-    return out
+        effect = _EFFECTS.get(op["kind"])
+        reason = effect(rope, op) if effect else None
+        count[effect is not None and reason is None] += 1
+        if reason:
+            reasons.append(reason)
+    return Replayed(rope.segments(), count[True], count[False], reasons)

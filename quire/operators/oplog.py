@@ -14,6 +14,7 @@ from quire.functions import text as fx
 from quire.kernels import oplog
 from quire.model import OPERATION, PACKAGE_BODY, SEGMENTS
 from quire.operators.ordered import first_by, first_occurrences
+from quire.sources.containers import in_batches
 
 
 def deltas_of(decoded: DataFrame) -> DataFrame:
@@ -31,10 +32,8 @@ def operations(deltas: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [{"file_id": file_id, **op} for op in oplog.operations(raw)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
+            files = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield from in_batches(({"file_id": file_id, **op} for file_id, raw in files for op in oplog.operations(raw)), arrow, lambda op: 1024 * len(op["segments"] or []))
 
     return logs.mapInArrow(run, schema).withColumn("address", fx.address(F.col("channel"), F.col("data_structure")))
 
@@ -85,9 +84,8 @@ def replay(logs: DataFrame, key: str = "file_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, base, ops in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                r = oplog.replay(base or [], ops or [])
-                yield pa.RecordBatch.from_pylist([{key: k, "segments": r.segments, "applied": r.applied, "skipped": r.skipped, "warnings": r.warnings}], arrow)
+            logs = ((k, oplog.replay(base or [], ops or [])) for k, base, ops in zip(*(batch.column(i).to_pylist() for i in range(3))))
+            yield from in_batches(({key: k, "segments": r.segments, "applied": r.applied, "skipped": r.skipped, "warnings": r.warnings} for k, r in logs), arrow, lambda r: 1024 * len(r["segments"]))
 
     return logs.select(key, "base", "ops").mapInArrow(run, schema)
 

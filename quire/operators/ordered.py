@@ -49,29 +49,16 @@ def first_occurrences(df: DataFrame, by: Sequence[str], value: str, order: Seque
 
 
 def locate(points: DataFrame, ranges: DataFrame, by: Sequence[str], offset: str, start: str, length: str, range_id: str) -> DataFrame:
-    """Left join of points to the range that holds their offset; of several, the least range_id counts. point columns, then those of ranges."""
-    r = ranges.withColumnsRenamed({c: f"_{c}" for c in by})
-    on = [F.col(offset) >= F.col(start), F.col(offset) < F.col(start) + F.col(length), *[points[c] == r[f"_{c}"] for c in by]]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    met = points.join(r, condition, "left").drop(*[f"_{c}" for c in by])
-    w = Window.partitionBy(*points.columns).orderBy(range_id)
-    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Every point with the range that holds its offset, or nulls; of several, the least range_id counts. point columns, then those of ranges.
+
+    Each different (key, offset) is looked up once, so points may repeat and none is lost.
+    """
+    places = points.select(*by, offset).distinct().join(ranges, list(by)).where((F.col(offset) >= F.col(start)) & (F.col(offset) < F.col(start) + F.col(length)))
+    own = [c for c in ranges.columns if c not in by]
+    found = places.groupBy(*by, offset).agg(F.min_by(F.struct(*own), range_id).alias("_range"))
+    return points.join(found, [*by, offset], "left").select(*points.columns, "_range.*")
 
 
 def first_by(df: DataFrame, by: Sequence[str], value: str, order: str) -> DataFrame:
     """One row per key: the value at the least order."""
     return df.groupBy(*by).agg(F.min_by(value, order).alias(value))
-
-
-def reassemble(df: DataFrame, by: Sequence[str], order: str, parts: str) -> DataFrame:
-    """One row per key: the arrays of all rows, joined in order."""
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(parts).alias("p"))))
-    return df.groupBy(*by).agg(F.flatten(F.transform(pieces, lambda x: x["p"])).alias(parts))
-
-
-def top_by_count(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(key, value, n, rank): counts per value, most first, then by value."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), value)))

@@ -125,9 +125,9 @@ def assemble(chunks: DataFrame) -> DataFrame:
 def _tree_warnings() -> Column:
     """Conflicts, then gaps, then incompleteness, as (code, message)."""
     number = F.coalesce(F.col("key.sequence_number").cast("string"), F.lit("none"))
-    conflict = F.transform("conflicts", lambda x: F.struct(F.lit("chunk_conflict").alias("code"), F.concat(F.lit("two different chunks both claim segment index "), x["start_index"].cast("string"), F.lit(" of the tree with sequence number "), number, F.lit("; ignored the copy from member "), x["member_index"].cast("string")).alias("message")))
-    gap = F.transform("gaps", lambda g: F.struct(F.lit("chunk_gap").alias("code"), F.concat(F.lit("tree with sequence number "), number, F.lit(" jumps from segment "), g["expected"].cast("string"), F.lit(" to "), g["found"].cast("string"), F.lit("; the assembled text may be missing a run of segments")).alias("message")))
-    message = F.concat(F.lit("tree with sequence number "), number, F.lit(" assembled "), F.size("segments").cast("string"), F.lit(" of "), F.coalesce(F.col("key.total_segment_count").cast("string"), F.lit("unknown")), F.lit(" segments"))
+    conflict = F.transform("conflicts", lambda x: F.struct(F.lit("chunk_conflict").alias("code"), F.concat(F.lit("a second, different chunk for segment "), x["start_index"].cast("string"), F.lit(" of tree number "), number, F.lit(" was left out; it came from member "), x["member_index"].cast("string")).alias("message")))
+    gap = F.transform("gaps", lambda g: F.struct(F.lit("chunk_gap").alias("code"), F.concat(F.lit("tree number "), number, F.lit(": segment "), g["expected"].cast("string"), F.lit(" is due, but the next chunk starts at "), g["found"].cast("string")).alias("message")))
+    message = F.concat(F.lit("tree number "), number, F.lit(" is not whole: "), F.size("segments").cast("string"), F.lit(" segment(s) found, "), F.coalesce(F.col("key.total_segment_count").cast("string"), F.lit("unknown")), F.lit(" stated"))
     short = F.when(~F.col("complete"), F.array(F.struct(F.lit("tree_incomplete").alias("code"), message.alias("message")))).otherwise(F.array().cast("array<struct<code:string,message:string>>"))
     return F.concat(conflict, gap, short)
 

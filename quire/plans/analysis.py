@@ -155,8 +155,8 @@ class Analysis:
         unknown = self.properties.where("class = 'unknown'").groupBy("file_id").agg(F.array_sort(F.collect_list("key")).alias("unknown"))
         out = self.scans.join(members, "file_id", "left").join(of_trees, "file_id", "left").join(self.assessment.select("file_id", "known"), "file_id", "left").join(unknown, "file_id", "left")
         own = _warnings(
-            (~F.col("known"), "component_identity_missing", F.lit("no recognised component identifier found (expected one of: " + ", ".join(KNOWN_COMPONENTS) + ")")),
-            (F.col("unknown").isNotNull(), "unknown_properties", F.concat(F.size("unknown").cast("string"), F.lit(" property key(s) not seen before, preserved but not interpreted: "), F.array_join("unknown", ", "))),
+            (~F.col("known"), "component_identity_missing", F.lit("none of the known components is named: " + ", ".join(KNOWN_COMPONENTS))),
+            (F.col("unknown").isNotNull(), "unknown_properties", F.concat(F.size("unknown").cast("string"), F.lit(" property name(s) without a known meaning, kept as they are: "), F.array_join("unknown", ", "))),
         )
         empty = F.array().cast(_WARNING)
         return out.select("file_id", F.concat("scan_warnings", F.coalesce("w_members", empty), F.coalesce("w_trees", empty), own).alias("warnings"))
@@ -210,15 +210,15 @@ class Analysis:
         of_replay = F.transform(F.coalesce("replay_warnings", F.array().cast("array<string>")), lambda m: F.struct(F.lit("operation_position_out_of_range").alias("code"), m.alias("message"), F.lit(None).cast("int").alias("member_index"), F.lit(None).cast("long").alias("file_offset"), F.lit(False).alias("rejected")))
         tried = F.col("address").isNotNull()
         before = _warnings(
-            (tried & ~F.col("confirmed"), "operation_target_unconfirmed", F.concat(F.lit("the container framing does not confirm which channel is the page body; replayed the address with the most inserts ("), F.col("address"), F.lit(")"))),
-            (tried & (F.col("n_addresses") > 1), "operations_span_several_channels", F.concat(F.lit("operations target "), F.col("n_addresses").cast("string"), F.lit(" channels; only "), F.col("address"), F.lit(" was replayed"))),
+            (tried & ~F.col("confirmed"), "operation_target_unconfirmed", F.concat(F.lit("no framing names the body's channel; of all addresses, the one with most inserts was replayed: "), F.col("address"))),
+            (tried & (F.col("n_addresses") > 1), "operations_span_several_channels", F.concat(F.lit("inserts go to "), F.col("n_addresses").cast("string"), F.lit(" addresses, of which this one was replayed: "), F.col("address"))),
         )
         after = _warnings(
-            (by_log, "body_rebuilt_from_operations", F.concat(F.lit("the snapshot holds no body text; rebuilt "), F.size("segments").cast("string"), F.lit(" segment(s) from "), F.col("applied").cast("string"), F.lit(" operation(s)"), F.when(F.col("seeded"), " applied on top of the snapshot").otherwise(""))),
-            (~by_log & F.col("content_hash").isNull(), "no_body_tree", F.lit("no merge tree in the snapshot carries text, and no operations rebuilt one")),
+            (by_log, "body_rebuilt_from_operations", F.concat(F.lit("body text comes from the operation log: "), F.col("applied").cast("string"), F.lit(" operation(s) gave "), F.size("segments").cast("string"), F.lit(" segment(s)"), F.when(F.col("seeded"), ", starting from the snapshot's").otherwise(""))),
+            (~by_log & F.col("content_hash").isNull(), "no_body_tree", F.lit("neither a tree of the snapshot nor the operation log gives a body")),
         )
-        unknown = F.transform(F.filter("segments", lambda s: s["kind"] == "unknown"), lambda s: F.struct(F.lit("unknown_segment").alias("code"), F.lit("a segment matched no known shape and was preserved unparsed").alias("message"), F.lit(None).cast("int").alias("member_index"), F.lit(None).cast("long").alias("file_offset"), F.lit(False).alias("rejected")))
-        last = _warnings((F.col("outcome") == "ambiguous", "title_ambiguous", F.concat(F.size("candidates").cast("string"), F.lit(" trees could be the document title; chose "), F.coalesce("title", F.lit("")), F.lit(" by content hash"))))
+        unknown = F.transform(F.filter("segments", lambda s: s["kind"] == "unknown"), lambda s: F.struct(F.lit("unknown_segment").alias("code"), F.lit("this segment is of no known kind; it is kept as raw JSON").alias("message"), F.lit(None).cast("int").alias("member_index"), F.lit(None).cast("long").alias("file_offset"), F.lit(False).alias("rejected")))
+        last = _warnings((F.col("outcome") == "ambiguous", "title_ambiguous", F.concat(F.size("candidates").cast("string"), F.lit(" trees qualify as title; the least content hash decided for: "), F.coalesce("title", F.lit("")))))
         return self._kept(d.withColumn("warnings", F.concat(F.coalesce(before, none), of_replay, after, unknown, last)))
 
     @cached_property
@@ -234,8 +234,8 @@ class Analysis:
     def errors(self) -> DataFrame:
         """(file_id, error): files that are empty or no containers."""
         a = self.assessment.where("confidence = 'none'")
-        inflated = F.concat(F.col("members").cast("string"), F.lit(" gzip member(s) inflated but none contained an embedded JSON payload"))
-        nothing = F.concat(F.lit("no gzip member could be inflated from "), F.col("file_size").cast("string"), F.lit(" byte(s) ("), F.col("signatures").cast("string"), F.lit(" signature(s) tried)"))
+        inflated = F.concat(F.col("members").cast("string"), F.lit(" member(s) were inflated, without any payload in them"))
+        nothing = F.concat(F.lit("not a container: "), F.col("signatures").cast("string"), F.lit(" signature(s) in "), F.col("file_size").cast("string"), F.lit(" byte(s), and no member behind any"))
         return a.select("file_id", F.when(F.col("members") == 0, nothing).otherwise(inflated).alias("error")).unionByName(self.input_errors)
 
     def rendered(self, form: str = "markdown") -> DataFrame:
@@ -253,9 +253,9 @@ class Analysis:
         d = self.recognised.where("title IS NULL").join(seen, "file_id", "left_anti").join(t, "file_id", "left").join(n, "file_id", "left").na.fill(0, ["n_trees", "n_text", "inserts"])
         count = lambda c: F.col(c).cast("string")
         note = (
-            F.when(F.col("n_trees") == 0, "the container was read but holds no merge tree, so there is no document structure to reconstruct")
-            .when((F.col("n_text") == 0) & (F.col("inserts") == 0), F.concat(F.lit("the page is empty: "), count("n_trees"), F.lit(" merge tree(s) hold only structure, and the operation log carries no text to replay")))
-            .when(F.col("n_text") > 0, F.concat(count("n_text"), F.lit(" merge tree(s) carry text, but none of them is the page body; the text belongs to embedded components, which are not yet rendered")))
-            .otherwise(F.concat(F.lit("no document text was recovered from "), count("n_trees"), F.lit(" merge tree(s) or "), F.size("segments").cast("string"), F.lit(" operation(s)")))
+            F.when(F.col("n_trees") == 0, "there is no tree in this container, so it has no document")
+            .when((F.col("n_text") == 0) & (F.col("inserts") == 0), F.concat(F.lit("an empty page: structure alone in "), count("n_trees"), F.lit(" tree(s), and no insert in the log")))
+            .when(F.col("n_text") > 0, F.concat(F.lit("text only in embedded components, which are not rendered: "), count("n_text"), F.lit(" tree(s)")))
+            .otherwise(F.concat(F.lit("nothing visible in "), count("n_trees"), F.lit(" tree(s) and "), F.size("segments").cast("string"), F.lit(" replayed segment(s)")))
         )
         return d.select("file_id", note.alias("note"))

@@ -138,12 +138,12 @@ def list_runs_text(spark, sf_dir):
 @query("""
 WITH r AS (SELECT doc_id, k AS line_no, sum(length(ls[k]) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(ls[k]) - 1 AS start, length(ls[k]) AS len
            FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents)),
-p AS (SELECT DISTINCT doc_id, unnest([0, n_chars // 3, n_chars // 2, n_chars, n_chars + 5]) AS pos FROM documents)
-SELECT p.doc_id, CAST(p.pos AS BIGINT) AS pos, min(line_no) AS line_no FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND p.pos >= r.start AND p.pos < r.start + r.len GROUP BY p.doc_id, p.pos""")
+p AS (SELECT *, row_number() OVER () AS k FROM (SELECT doc_id, unnest([0, 0, n_chars // 3, n_chars // 2, n_chars, n_chars + 5]) AS pos FROM documents))
+SELECT p.doc_id, CAST(p.pos AS BIGINT) AS pos, min(line_no) AS line_no FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND p.pos >= r.start AND p.pos < r.start + r.len GROUP BY p.doc_id, p.pos, p.k""")
 def interval_locate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     n = F.col("n_chars")
-    points = docs.select("doc_id", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(n / 3), F.floor(n / 2), n, n + 5))).alias("pos"))
+    points = docs.select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(0).cast("long"), F.floor(n / 3), F.floor(n / 2), n, n + 5)).alias("pos"))
     lines = F.split("text", "\n")
     sizes = F.transform(lines, lambda x: F.length(x).cast("long"))
     ends = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda k: k.cast("long"))
@@ -283,12 +283,12 @@ def delta_dedup(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, bool_and(coalesce(turn = before + 1, false)) AS follows FROM (SELECT conv_id, turn, lag(turn, 1, -1) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE conv_id % 3 <> 0 OR turn <> 1) GROUP BY conv_id""")
+SELECT conv_id, bool_and(coalesce(turn = before + 1, false)) AS follows FROM (SELECT conv_id, turn, lag(turn, 1, -1) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before FROM conversations) GROUP BY conv_id""")
 def follows_snapshot(spark, sf_dir):
     from pyspark.sql import Window
 
-    before = F.lag("turn", 1, -1).over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").where("conv_id % 3 <> 0 OR turn <> 1").withColumn("before", before)
+    before = F.lag("turn", 1, -1).over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").withColumn("before", before)
     return oplog.follows_snapshot(rows, "conv_id", "before", "turn")
 
 
@@ -460,7 +460,7 @@ def envelope_roundtrip(spark, sf_dir):
     return _framed(spark, sf_dir).rendered("markdown")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS file_id, replace(substr(string_agg(text, '' ORDER BY turn), 2), '', '') || chr(10) AS rendered FROM conversations GROUP BY conv_id")
+@query("SELECT CAST(conv_id AS VARCHAR) AS file_id, substr(string_agg(text, '' ORDER BY turn), 2) || chr(10) AS rendered FROM conversations GROUP BY conv_id")
 def oplog_roundtrip(spark, sf_dir):
     """Conversations into operation logs and back: the body is replayed."""
     return _logged(spark, sf_dir).rendered("text")

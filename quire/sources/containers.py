@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quire.kernels import envelope, fragments, inflate, segments
 from quire.model import DECODED, Limits
 
-#: Files that a Python worker gets at once: each may be large.
-BATCH_FILES = 16
+#: Bytes of files that a worker is handed at once, and rows and member bytes of a batch that it gives back.
+BATCH_BYTES, BATCH_FILES, OUT_BYTES = 64 << 20, 64, 16 << 20
 
 
 def read(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
@@ -90,7 +90,7 @@ def decode_file(file_id: str, content: bytes, limits: Limits = Limits(), discove
     for m in found.members:
         index, own = _envelope(m.data), []
         if index["outcome"] == "unreadable" and b"treeNodes" in m.data:
-            text = f"the container framing in this member did not decode ({index['reason']}); falling back to content heuristics for tree classification"
+            text = f"framing of this member is unreadable ({index['reason']}); its trees are told apart by their contents"
             own.append({"code": "envelope_unreadable", "message": text, "member_index": m.index, "file_offset": m.file_offset, "rejected": False})
         finder = fragments.DISCOVERIES[discovery](**({"limits": limits} if discovery == "fragment" else {}))
         try:
@@ -114,17 +114,29 @@ def _is_utf8(data: bytes) -> bool:
     return True
 
 
+def in_batches(rows: Iterable[dict], schema: pa.Schema, size: Callable[[dict], int]) -> Iterator[pa.RecordBatch]:
+    """Record batches of up to BATCH_FILES rows, or of fewer that come to OUT_BYTES by size."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if len(held) >= BATCH_FILES or total >= OUT_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, total = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
 def decode(files: DataFrame, limits: Limits = Limits(), discovery: str = "fragment", with_data: bool = False, with_values: bool = False) -> DataFrame:
     """DECODED rows of (file_id, content). One pass without a shuffle; a worker holds one file's members at a time."""
     spark = files.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_FILES:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     schema = to_arrow_schema(DECODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for row in decode_file(file_id, content or b"", limits, discovery, with_data, with_values):
-                    yield pa.RecordBatch.from_pylist([row], schema)
+            files = zip(batch.column(0), batch.column(1))
+            rows = (row for file_id, content in files for row in decode_file(file_id.as_py(), content.as_py() or b"", limits, discovery, with_data, with_values))
+            yield from in_batches(rows, schema, lambda row: row.get("data_len") or 0)
 
     return files.select("file_id", "content").mapInArrow(run, DECODED)

@@ -30,11 +30,11 @@ def text(t, **props):
 
 
 DOCUMENTS = {
-    "nested": ([text("Parent item"), item(0, "a0"), "Child item", item(1, "a0"), "Second parent", item(0, "a0")], None, "- Parent item\n    - Child item\n- Second parent\n", "- Parent item\n    - Child item\n- Second parent\n"),
+    "nested": ([text("outer one"), item(0, "a0"), "inner one", item(1, "a0"), "outer two", item(0, "a0")], None, "- outer one\n    - inner one\n- outer two\n", "- outer one\n    - inner one\n- outer two\n"),
     "two lists": (["first", item(0, "a0"), "second", item(0, "b0")], None, "- first\n\n- second\n", "- first\n- second\n"),
     "empty item": (["a", item(0, "x"), item(0, "x"), "b", item(0, "x")], None, "- a\n- b\n", "- a\n\n- b\n"),
     "empty block ends a list": (["a", item(0, "x"), P, "b", item(0, "x")], None, "- a\n\n- b\n", "- a\n\n- b\n"),
-    "title": (["body", P], "Example Page 09/02", "# Example Page 09/02\n\nbody\n", "Example Page 09/02\n\nbody\n"),
+    "title": (["body", P], "Minutes 3-1", "# Minutes 3-1\n\nbody\n", "Minutes 3-1\n\nbody\n"),
     "heading below a title": (["Section", heading(1), "deep", heading(6)], "Doc", "# Doc\n\n## Section\n\n###### deep\n", "Doc\n\nSection\n\ndeep\n"),
     "heading without a title": (["Section", heading(1)], None, "# Section\n", "Section\n"),
     "empty title moves headings": (["Section", heading(1)], "", "## Section\n", "Section\n"),
@@ -94,7 +94,7 @@ FILES = {
     "split": writer.container(*reversed(two_part())),
     "gap": writer.container(*two_part(second=(4, ["cc", "dd"]), total=6)),
     "conflict": writer.container(*two_part(), writer.chunk(["xx", "yy"], start=2, total=4, chars=8)),
-    "roles": page(["a" * 300, P]).replace(b"", b"") + writer.member(writer.chunk(["A title", P], sequence=2)),
+    "roles": page(["a" * 300, P]) + writer.member(writer.chunk(["A title", P], sequence=2)),
     "marker only": page([P]),
     "evidence": page([text("b", bold=True), text("i", italic=True, link="u"), heading(1), "x", item(0, "q"), text("who", attribution={"id": 1}), {"marker": {}, "props": {"placeholder!attributeText": "placeholder!addTitle", "new!key": 1}}]),
     "framed": writer.container(writer.summary({"T": (PACKAGE_TITLE, writer.chunk([" My title ", P])), "E": ("Other", writer.chunk(["body", P], sequence=2)), "C": ("Table", writer.chunk(["cell", P], sequence=3))}, {"CanvasComponentHandle": "/E"})),
@@ -106,7 +106,7 @@ FILES = {
     "no document": writer.container(writer.package("other")),
     "known, no document": writer.container(writer.package(KNOWN_COMPONENTS[1])),
     "plain text": b"just some text",
-    "no json": writer.container(b"just some gzipped text"),
+    "no json": writer.container(b"plain words, deflated"),
     "broken framing": writer.container(b"\x33\x0e\x09treeNodes\x7f" + writer.chunk(["still read"])),
     "cut": writer.container(writer.chunk(["ok"])) + b"\x1f\x8b\x08\x00junk",
     "empty": b"",
@@ -209,7 +209,7 @@ def test_rendered(analysis):
     assert got["marker only"] == "" and "plain text" not in got
     assert all(x == "" or x.endswith("\n") for x in got.values())
     notes = {r["file_id"]: r["note"] for r in analysis.emptiness.collect()}
-    assert "the page is empty" in notes["marker only"] and "no merge tree" in notes["no document"]
+    assert "an empty page" in notes["marker only"] and "no tree" in notes["no document"]
 
 
 def test_json_documents_leave_out_personal_data(analysis):
@@ -286,7 +286,7 @@ def test_command_line_writes_and_dumps(spark, tmp_path, capsys):
     assert (tmp_path / "out.md").read_text() == "aabbccdd\n"
     assert cli.main(["inspect", str(path), "--dump-payloads", str(tmp_path / "dump"), "--format", "json", "-v"], spark) == 0
     out, err = capsys.readouterr()
-    assert "note: --include-attribution" in err and "wrote 4 file(s)" in err
+    assert "--include-attribution changes nothing" in err and "4 payload file(s)" in err
     assert json.loads(out)["merge_trees"] == 1 and len(list((tmp_path / "dump").iterdir())) == 4
 
 
