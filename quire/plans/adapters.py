@@ -33,14 +33,19 @@ def paragraphs(text: Column) -> Column:
 
 
 def encoded(df: DataFrame, key: str, columns: list[str], build: Callable[..., bytes]) -> DataFrame:
-    """(file_id, content): a container for each row, built by a Python function of its columns."""
+    """(file_id, content): a container for each row, built by a Python function of its columns.
+
+    Containers cost far more to build and to decode than rows cost to move, so rows are dealt evenly over all cores first.
+    """
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [batch.column(c).to_pylist() for c in columns]
             yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.string()), pa.array([build(*row) for row in zip(*values)], pa.binary())], ["file_id", "content"])
 
-    return df.select(key, *[c for c in columns if c != key]).mapInArrow(run, "file_id string, content binary")
+    return df.select(key, *[c for c in columns if c != key]).repartition(tasks).mapInArrow(run, "file_id string, content binary")
 
 
 def plain_container(text: str | None) -> bytes:
