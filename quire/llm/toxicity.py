@@ -25,6 +25,8 @@ SIZES = (4, 5, 6)
 BITS = 20
 #: Labelled rows of each kind on which the classifier is fitted, by their whole texts.
 SAMPLE_ROWS = 2500
+#: Bytes of text whose features the fit holds at once.
+TRAIN_BYTES = 1 << 18
 MIN_TEXTS = 4
 #: Least chi-square of a feature; with few labels, this share of their number (chi-square is at most that number).
 MIN_CHI2, CHI2_SHARE = 30.0, 0.25
@@ -76,17 +78,17 @@ def hit_features(buf: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tu
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def train(texts: list[str], toxic: list[int]) -> Classifier | None:
-    """Fits the classifier; None unless both labels occur."""
+def train(texts: list[str] | pa.Array, toxic: list[int]) -> Classifier | None:
+    """Fits the classifier; None unless both labels occur. Besides the texts it holds the features of TRAIN_BYTES of them at a time."""
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or not 0 < y.sum() < len(y):
         return None
-    raw = [t.encode() for t in texts]
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     counts = np.zeros((2, 1 << BITS))
     everything = np.ones(1 << BITS, dtype=bool)
 
     def each(wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for first, _, buf, offsets in text_chunks(pa.array(raw, pa.large_binary()).cast(pa.large_string())):
+        for first, _, buf, offsets in text_chunks(column, TRAIN_BYTES):
             doc, place = hit_features(buf, offsets, wanted)
             yield doc + first, place
 
@@ -132,8 +134,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.groupBy("id").agg(F.max("label").alias("label"))
     chosen = bounded_sample(marks, "label", sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("id")
-    return train(got["text"].tolist(), got["label"].tolist())
+    got = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")).orderBy("id").select("label", "text").toArrow()
+    return train(got["text"].cast(pa.large_string()).combine_chunks(), got["label"].to_pylist())
 
 
 def _score(held):
