@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch; a row that is longer stands alone.
 BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 #: Bytes of text that the numpy kernels hold at once (they need some 40 times that in arrays).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Keys that may count as hot, the least rows of one that does, and the parts into which its rows are dealt.
 HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 32
@@ -96,6 +97,22 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tupl
         row = end
 
 
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel, after which its worker gives freed memory back: an idle worker would hold some 120 MB while the JVM works."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps the batches that Python workers get within BATCH_ROWS rows and BATCH_BYTES bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

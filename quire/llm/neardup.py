@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, free_name, hot_keys, mix64, prefix_hash, salted_join, scratch, small_batches, span_hash, stored, text_chunks, words_of
+from quire.llm.common import LOWER, free_name, hot_keys, mix64, prefix_hash, salted_join, scratch, small_batches, span_hash, stored, text_chunks, tidy, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -235,7 +235,7 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     nodes, those outside its largest component are joined with all, so that a component never meets itself.
     """
     about = sets.select("node", "comp", (F.octet_length("shingles") / 8).cast("long").alias("n"), (F.octet_length("counts") == 0).alias("flat"))
-    tokens = stored(sets.select("node", "shingles", "counts").mapInArrow(token_kernel(), "node binary, shingle long, mass double").join(about, "node"))
+    tokens = stored(sets.select("node", "shingles", "counts").mapInArrow(tidy(token_kernel()), "node binary, shingle long, mass double").join(about, "node"))
     per = tokens.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
     common = per.groupBy("shingle").agg(F.sum("k").alias("df"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1")
     common = stored(common.select("shingle", "df", F.col("top.comp").alias("top")))
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     with scratch(spark):
         texts = base.where(F.col("text").isNotNull()).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), F.xxhash64(F.col("id").cast("string")).alias("row"), "text")
-        signed = texts.mapInArrow(signature_kernel(bands, rows, k), "node binary, row long, bands array<bigint>")
+        signed = texts.mapInArrow(tidy(signature_kernel(bands, rows, k)), "node binary, row long, bands array<bigint>")
         signed = stored(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("row").alias("row")))
         in_band = signed.select(F.explode("bands").alias("key"), "node")
         shared = in_band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -275,14 +275,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = stored(members.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("times")))
         # Of equal texts one row is read again: the key holds the row, so that copies do not meet in one task.
         wanted = signed.select("node", "row").join(met.select("node").distinct(), "node", "left_semi")
-        sets = texts.join(wanted, ["node", "row"], "left_semi").select("node", "text").mapInArrow(shingle_kernel(k), "node binary, shingles binary, counts binary")
+        sets = texts.join(wanted, ["node", "row"], "left_semi").select("node", "text").mapInArrow(tidy(shingle_kernel(k)), "node binary, shingles binary, counts binary")
         sets = stored(sets.groupBy("node").agg(F.first(F.struct("shingles", "counts")).alias("s")).select("node", "s.*"))
 
         def verified(candidates: DataFrame) -> DataFrame:
             x = candidates.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.col("counts").alias("n")), "a")
             hot = hot_keys(candidates.groupBy("b").agg(F.count("*").alias("n")), "b", "n")
             x = salted_join(x, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.col("counts").alias("m")), "b", hot, "a").select("a", "b", "x", "n", "y", "m")
-            return stored(x.mapInArrow(verify_kernel(threshold), "a binary, b binary"))
+            return stored(x.mapInArrow(tidy(verify_kernel(threshold)), "a binary, b binary"))
 
         best = stored(pairs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("top")).select("a", F.col("top.b").alias("b")))
         links = verified(best)

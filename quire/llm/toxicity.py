@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, bounded_sample, fold_of, powers, prefix_hash, small_batches, text_chunks
+from quire.llm.common import LOWER, bounded_sample, fold_of, powers, prefix_hash, small_batches, text_chunks, tidy
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -156,7 +156,7 @@ def scored(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", te
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    df = df.mapInArrow(_score(held), f"id {docs.schema[id_col].dataType.simpleString()}, score double")
+    df = df.mapInArrow(tidy(_score(held)), f"id {docs.schema[id_col].dataType.simpleString()}, score double")
     return df.select(F.col("id").alias(id_col), F.coalesce(fold_of(F.col("id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -173,4 +173,4 @@ def clean_documents(docs: DataFrame, model: Classifier | None, text_col: str = "
                 part = batch.slice(first, end - first)
                 yield part.filter(pa.array(m.scores(buf, offsets) < threshold, pa.bool_())) if m else part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
