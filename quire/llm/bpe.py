@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import small_batches, tidy
 
 #: Pieces whose ids a worker keeps (some 400 bytes each).
 CACHED_PIECES = 400_000
@@ -311,4 +311,4 @@ def _mapped(df: DataFrame, path: str, pattern: str, id_col: str, in_col: str, ro
     small_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(path))
     own = df.select(F.col(id_col).alias("id"), F.col(in_col).cast(kind).alias("value"))
-    return own.mapInArrow(_each(ranks, path, pattern, row), f"id {df.schema[id_col].dataType.simpleString()}, {schema}").withColumnRenamed("id", id_col)
+    return own.mapInArrow(tidy(_each(ranks, path, pattern, row)), f"id {df.schema[id_col].dataType.simpleString()}, {schema}").withColumnRenamed("id", id_col)
