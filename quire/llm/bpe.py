@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import small_batches, tidy
 
-#: Pieces whose ids a worker keeps (some 400 bytes each).
+#: Pieces whose ids a task keeps (some 400 bytes each).
 CACHED_PIECES = 400_000
 #: Bytes of the longest pieces that are kept.
 CACHED_LENGTH = 64
@@ -268,8 +268,11 @@ def _each(ranks, path: str, pattern: str, row):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(ranks, path, pattern)
-        for batch in batches:
-            yield from row(tokenizer, batch)
+        try:
+            for batch in batches:
+                yield from row(tokenizer, batch)
+        finally:
+            tokenizer.pieces.clear()  # an idle worker would hold up to 160 MB of them
 
     return run
 
