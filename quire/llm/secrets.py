@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import small_batches, tidy
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -244,7 +244,7 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     h = F.xxhash64(F.col(id_col).cast("string"))
     drawn = h.cast("double") / F.lit(2.0**64) + 0.5 <= F.lit(min(1.0, sample_rows / max(1, n)))
     rows = docs.select(F.col(text_col).cast("string").alias("text"), drawn.alias("drawn")).where(F.col("text").isNotNull())
-    found = rows.mapInArrow(run, "kind string, value string").distinct().withColumn("h", F.xxhash64("value"))
+    found = rows.mapInArrow(tidy(run), "kind string, value string").distinct().withColumn("h", F.xxhash64("value"))
     wanted = F.when(F.col("kind") == "", ORDINARY_VALUES).otherwise(SAMPLE_VALUES)
     for block in (F.pmod("h", F.lit(64)), F.lit(0)):
         rank = F.row_number().over(Window.partitionBy("kind", block).orderBy("h", "value"))
@@ -278,7 +278,7 @@ def scanned(docs: DataFrame, grammar: Grammar | None, id_col: str = "doc_id", te
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(grammar)
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    df = df.mapInArrow(_scan(held), f"id {docs.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
+    df = df.mapInArrow(tidy(_scan(held)), f"id {docs.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
     return df.withColumnRenamed("id", id_col)
 
 
@@ -302,5 +302,5 @@ def redacted_documents(docs: DataFrame, grammar: Grammar | None, text_col: str =
             texts = pa.array([None if t is None else redact(t, held.value) for t in batch.column(place).to_pylist()], batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([texts if k == place else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col else out
