@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch; a row that is longer stands alone.
-BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bytes of text that the numpy kernels hold at once (they need some 40 times that in arrays).
 CHUNK_BYTES = 1 << 19
 
