@@ -97,6 +97,15 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tupl
         row = end
 
 
+def give_back() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The kernel, after which its worker gives freed memory back: an idle worker would hold some 120 MB while the JVM works."""
 
@@ -104,11 +113,7 @@ def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from kernel(batches)
         finally:
-            _POWERS.clear()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, bounded_sample, fold_of, powers, prefix_hash, small_batches, text_chunks, tidy
+from quire.llm.common import LOWER, bounded_sample, fold_of, give_back, powers, prefix_hash, small_batches, text_chunks, tidy
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -135,7 +135,12 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = bounded_sample(marks, "label", sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     got = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")).orderBy("id").select("label", "text").toArrow()
-    return train(got["text"].cast(pa.large_string()).combine_chunks(), got["label"].to_pylist())
+    toxic, column = got["label"].to_pylist(), got["text"].cast(pa.large_string()).combine_chunks()
+    del got
+    model = train(column, toxic)
+    del column
+    give_back()
+    return model
 
 
 def _score(held):
