@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quire.kernels import envelope, fragments, inflate, oplog, segments, strictjson, writer
-from quire.model import Limits
+from quire.model import SIGNATURE, Limits
+from quire.plans import adapters
 
 
 # ---- inflate
@@ -67,6 +68,32 @@ def test_empty_member_is_rejected():
     assert got.failed[0][1] == "no output"
 
 
+def stray(seed):
+    """A text in whose container the signature stood by chance within compressed bytes."""
+    rng = random.Random(seed)
+    return " ".join(f"{rng.getrandbits(40):x}" for _ in range(120))
+
+
+def accepted(content, members):
+    got = inflate.scan(content)
+    return (len(got.candidates), len(got.members), got.failed, got.warnings) == (members, members, [], [])
+
+
+def test_members_hold_no_stray_signature():
+    text = stray(62517)
+    assert SIGNATURE in gzip.compress(writer.chunk(writer.paragraphs(text)), 6)[1:]
+    assert accepted(adapters.plain_container(text), 3)
+
+
+def test_padding_where_the_length_is_the_signature():
+    size, head = int.from_bytes(SIGNATURE, "little"), b'{"segmentTexts":["hi"],"a":"'
+    payload = head + b"x" * (size - len(head) - 2) + b'"}'
+    content = writer.container(payload, payload)
+    assert accepted(content, 2)
+    found = [fragments.Fragments().discover(m.data) for m in inflate.scan(content).members]
+    assert [[(p.start, p.end) for p in ps] for ps in found] == [[(0, size)]] * 2
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.binary(max_size=200), max_size=5), st.binary(max_size=20))
 def test_every_signature_is_accounted_for(parts, junk):
