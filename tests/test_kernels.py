@@ -85,6 +85,11 @@ def test_members_hold_no_stray_signature():
     assert accepted(adapters.plain_container(text), 3)
 
 
+def test_logged_members_hold_no_stray_signature():
+    content = adapters.logged_container([stray(88119)])
+    assert accepted(content, 3)
+
+
 def test_padding_where_the_length_is_the_signature():
     size, head = int.from_bytes(SIGNATURE, "little"), b'{"segmentTexts":["hi"],"a":"'
     payload = head + b"x" * (size - len(head) - 2) + b'"}'
