@@ -113,3 +113,39 @@ def test_odd_rows(make, odd_texts, rows):
     assert sorted(((r["doc_id"], r["kept_text"]) for r in again), key=repr) == sorted([(2, ""), (2, ""), (3, ""), (None, long)], key=repr)
     assert linededup.deduplicated(make([])).count() == 0
     assert linededup.deduplicated(make([(1, None), (2, "")])).select(F.sum(F.size("removed"))).first()[0] == 0
+
+
+def brute_windows(rows, least):
+    """{(id, text): spans that go}: of the words in windows of least words that an earlier document holds."""
+    docs = sorted({(i is not None, i or 0, t) for i, t in rows if t}, key=lambda d: (d[0], d[1]))
+    first, out = {}, {}
+    for d in docs:
+        found = list(WORD.finditer(d[2]))
+        words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in m[0]) for m in found]
+        gone = set()
+        for a in range(len(words) - least + 1):
+            if first.setdefault(tuple(words[a : a + least]), d) != d:
+                gone.update(range(a, a + least))
+        starts = [*(m.start() for m in found), len(d[2])]
+        edges = [k for k in range(len(starts)) if (k in gone) != (k - 1 in gone)]
+        out[(d[1] if d[0] else None, d[2])] = [(starts[a], starts[b]) for a, b in zip(edges[::2], edges[1::2])]
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 9, 50])
+def test_whole_passages(make, rows, monkeypatch, least):
+    """Also such as begin and end within clauses, which units lose; those of hot digests; and short clauses of several documents in a row stay."""
+    monkeypatch.setattr(linededup, "HOT_KEYS", 10**6)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    passage = [f"p{k}" + "," * (k % 12 == 9) for k in range(52)]
+    inside = [(2000 + i, " ".join([f"a{i}", *passage[: 52 - i % 3], f"b{i}", "end", "of", "it."])) for i in range(120)]
+    clauses = [(3000 + i, f"s{i} t{i}. q{i}") for i in range(30)] + [(3100, " ".join(f"s{i} t{i}." for i in range(30)))]
+    many = [*rows, *inside, *clauses, inside[5], (None, inside[7][1]), (None, None), (4000, ""), (4001, " \n")]
+    got = {(r["doc_id"], r["kept_text"], tuple((x["start"], x["end"], x["words"]) for x in r["removed"])) for r in linededup.deduplicated(make(many), min_words=least, whole=True).collect()}
+    want = brute_windows(many, least)
+    spans = {(i, t): want.get((i, t), []) for i, t in many}
+    assert got == {(i, t and without(t, s), tuple((a, b, len(WORD.findall(t[a:b]))) for a, b in s)) for (i, t), s in spans.items()}
+    if least == 50:
+        assert sum(map(bool, want.values())) > 150 and not want[clauses[-1]]
+        units = brute_spans(many)
+        assert units[clauses[-1]] and not any(units[d] for d in inside if d[1] not in inside[7][1])
