@@ -64,13 +64,14 @@ def framed_container(title: str, text: str | None) -> bytes:
     return writer.container(writer.summary(channels, {"CanvasComponentHandle": "/E"}), writer.package(KNOWN_COMPONENTS[0], "1"))
 
 
-def logged_container(turns: list[str]) -> bytes:
-    """An empty page with a log that inserts each turn at the end, and then takes the first character away again."""
-    log, at = [], 0
-    for text in turns:
+def logged_container(turns: list[str | None]) -> bytes:
+    """An empty page with a log that inserts each turn (null: empty) at the end, and then takes the first character away again, both halves of it if it has two."""
+    log, at, texts = [], 0, [text or "" for text in turns]
+    for text in texts:
         log.append(writer.delta("E", writer.insert(at, text)))
         at += len(text.encode("utf-16-le")) // 2
     if at:
-        log.append(writer.delta("E", writer.remove(0, 1)))
+        first = next(filter(None, texts))[0]
+        log.append(writer.delta("E", writer.remove(0, len(first.encode("utf-16-le")) // 2)))
     page = writer.summary({"E": (PACKAGE_BODY, None)}, None, 7, 8, log)
     return writer.container(page, writer.package(KNOWN_COMPONENTS[1]), json.dumps({"segmentTexts": []}).encode())

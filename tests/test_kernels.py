@@ -90,6 +90,14 @@ def test_logged_members_hold_no_stray_signature():
     assert accepted(content, 3)
 
 
+@pytest.mark.parametrize("turns, text", [(["😀 a", "b"], " ab"), (["", "😀", "b"], "b"), ([None, "ab", None], "b"), (["ab", "😀"], "b😀")])
+def test_logged_conversations_lose_their_first_character(turns, text):
+    """Whole, if it takes two units; turns without a text insert nothing."""
+    page = inflate.scan(adapters.logged_container(turns)).members[0].data
+    got = oplog.replay([], oplog.operations(envelope.read(page).deltas))
+    assert "".join(s["text"] for s in got.segments) == text and not got.warnings
+
+
 def test_padding_where_the_length_is_the_signature():
     size, head = int.from_bytes(SIGNATURE, "little"), b'{"segmentTexts":["hi"],"a":"'
     payload = head + b"x" * (size - len(head) - 2) + b'"}'
