@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import common, linededup
+from quire.llm.queries import ORACLE_SQL, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -149,3 +150,25 @@ def test_whole_passages(make, rows, monkeypatch, least):
         assert sum(map(bool, want.values())) > 150 and not want[clauses[-1]]
         units = brute_spans(many)
         assert units[clauses[-1]] and not any(units[d] for d in inside if d[1] not in inside[7][1])
+
+
+@pytest.mark.parametrize("least", [51, 60, 120])
+def test_planted_passages_by_the_query(spark, make, tmp_path, least):
+    """Passages at any word of texts of shuffled words, as the check plants them: every later copy loses all of it, clean texts nothing; rows as by plain Python and by SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(least)
+    pick = lambda n: [rng.choice(["ä", "B", ""]) + f"w{rng.randrange(500)}" + rng.choice(["", "", "", ",", "."]) for _ in range(n)]
+    space = lambda words: "".join(w + rng.choice(" \t\n") for w in words)
+    first, later, clean = [], [], [(3000 + i, space(pick(rng.randrange(200)))) for i in range(30)]
+    for i in range(20):
+        passage = pick(least)
+        first.append((1000 + i, space([*pick(rng.randrange(90)), *passage, *pick(rng.randrange(90))])))
+        later += [(2000 + 2 * i + c, space([*pick(rng.randrange(90)), *(w.upper() if c and w.isascii() else w for w in passage), *pick(rng.randrange(90))])) for c in (0, 1)]
+    rows = [*first, *later, *clean, (4000, later[3][1]), (4001, None), (4002, ""), (4003, " \n")]
+    make(rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["op9_passage_dedup"](spark, str(tmp_path)).collect()}
+    want = brute_windows(rows, 50)
+    assert {(r[0], r[3]) for r in got} == {(i, ",".join(f"{a}:{b}" for a, b in want.get((i, t), []))) for i, t in rows}
+    words = {r[0]: r[2] for r in got}
+    assert all(words[i] >= least for i, _ in later) and not any(words[i] for i, _ in [*first, *clean])
+    assert got == set(duckdb.sql(ORACLE_SQL["op9_passage_dedup"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()) and len(got) == len(rows)
